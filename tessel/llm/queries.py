@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, documents
+from tessel.llm.decontam import find_contamination
+from tessel.llm.oracle import SQL  # noqa: F401
 from tessel.llm.packing import pack
+from tessel.llm.quality import COUNTS, quality_rules
 from tessel.llm.token_files import read_token_files, write_token_files
 from tessel.llm.tokens import vocabulary_path
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules(documents(spark, sf_dir, "doc_id", "text", "source"), "doc_id")
+    return ruled.select("row.doc_id", *COUNTS, "base_failed", "kept", "host_strict")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").path("set")
     write_token_files(documents(spark, sf_dir, "doc_id", "text"), path, vocabulary_path("byte_bpe_50k.json"))
@@ -22,8 +30,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
 }
-SQL: dict[str, str] = {}
