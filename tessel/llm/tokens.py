@@ -12,6 +12,12 @@ import numpy as np
 #: White space other than space and line feed, as any regular-expression engine may see it.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
+DOUBLE_SPACE = re.compile("[ \n][ \n]")
+MARKS = ".,;:!?"
+#: Words that the normalisers of both vocabularies change in letter case at most, and keep as one pre-token.
+PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A known piece is kept as the place of its ids and, in the lower bits, their number.
+COUNT_BITS = 24
 
 
 def vocabulary_path(name: str) -> str:
@@ -23,43 +29,76 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Encodes texts with the tokenizers library and keeps the ids of pieces it has met.
 
-    A piece is a run of spaces and line feeds with the run of other characters behind it. Both
-    vocabularies cut every text in front of such a run before they merge anything (byte_bpe: no
-    pre-token has white space behind other characters; word_bpe: white space is dropped), so a
-    text's ids are those of its pieces. Texts with any other white space are encoded whole.
+    A piece is a run of spaces and line feeds with the run of other characters behind it; a mark
+    behind letters is encoded apart. Both vocabularies cut every text in these places before they
+    merge anything (no pre-token has white space behind other characters, or a mark behind
+    letters), so a text's ids are those of its pieces. Texts with other white space are encoded whole.
+    Pieces are kept without the one space in front of them, others behind a tab, which no piece has.
     The memory is emptied when it holds `most` pieces or `most_ids` ids.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, most_ids: int = 8_000_000):
+    def __init__(self, path: str, most: int = 1_500_000, most_ids: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.most_ids = most, most_ids
+        #: Byte-level vocabularies write bytes as printable characters: those that print as they are, others from U+0100 on.
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+        self.bytes_as = dict(zip([b for b in range(256) if b not in shown], map(chr, range(256, 512)), strict=False))
+        self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.model.end_of_word_suffix else " "
+        probe = ["a", "Straße", "THE", "Éÿ", "wqxzzk"]
+        self.direct = all(self._word(x) == self.tokenizer.encode(" " + x, add_special_tokens=False).ids for x in probe)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.counts = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def learn(self, pieces: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        k, n = len(self.known), len(pieces)
-        counts = np.fromiter(map(len, lists), dtype=np.int64, count=n)
+    def _word(self, word: str) -> list[int]:
+        """Ids of a plain word behind a space, by the vocabulary's merges alone."""
+        text = self.space + (word.lower() if self.lower else word)
+        return [x.id for x in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.bytes_as))]
+
+    def learn(self, keys: list[str]) -> None:
+        """Adds the ids of pieces that aren't known."""
+        marked = [x for x in keys if x[-1:] in MARKS and x[-2:-1].isalpha()]
+        wanted = {*keys}.difference(marked).union((x[:-1] for x in marked), ("\t" + x[-1] for x in marked))
+        plain = [x for x in wanted if x not in self.known]
+        if self.direct:
+            words = [x for x in plain if PLAIN_WORD.fullmatch(x)]
+            if words:
+                plain = [x for x in plain if not PLAIN_WORD.fullmatch(x)]
+                self._put_lists(words, list(map(self._word, words)))
+        if plain:
+            texts = [x[1:] if x[:1] == "\t" else x if x[:1] == "\n" else " " + x for x in plain]
+            self._put_lists(plain, [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        if marked:
+            pairs = np.array([self.known[k] for x in marked for k in (x[:-1], "\t" + x[-1])], dtype=np.int64)
+            ids, counts = self._ids(pairs)
+            self._put(marked, ids, counts[::2] + counts[1::2])
+
+    def _put_lists(self, keys: list[str], lists: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self._put(keys, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(counts.sum())), counts)
+
+    def _put(self, keys, ids: np.ndarray, counts: np.ndarray) -> None:
         ends = self.used + np.cumsum(counts)
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + n > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-        self.ids[self.used : ends[-1]] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=ends[-1] - self.used)
-        self.starts[k : k + n], self.counts[k : k + n] = ends - counts, counts
-        self.known.update(zip(pieces, range(k, k + n), strict=True))
+        self.ids[self.used : ends[-1]] = ids
+        self.known.update(zip(keys, ((ends - counts) << COUNT_BITS | counts).tolist(), strict=True))
         self.used = int(ends[-1])
 
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = at & ((1 << COUNT_BITS) - 1)
+        ends = np.cumsum(counts)
+        where = np.repeat((at >> COUNT_BITS) - (ends - counts), counts)
+        where += np.arange(len(where))
+        return self.ids[where], counts
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
@@ -67,16 +106,16 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.known) > self.most or self.used > self.most_ids:
             self.clear()
-        pieces = PIECES.findall(text)
-        known = self.known
-        new = set(pieces).difference(known)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        starts, counts = self.starts[at], self.counts[at]
-        ends = np.cumsum(counts)
-        where = np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
-        return self.ids[where]
+        if DOUBLE_SPACE.search(text):
+            keys = ["\t" + x for x in PIECES.findall(text)]
+        else:
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\t" + keys[0]
+        at = list(map(self.known.get, keys))
+        if None in at:
+            self.learn(list({x for x, k in zip(keys, at, strict=True) if k is None}))
+            at = list(map(self.known.__getitem__, keys))
+        return self._ids(np.array(at, dtype=np.int64))[0]
 
 
 @lru_cache(maxsize=2)
