@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, documents
 from tessel.llm.decontam import find_contamination
+from tessel.llm.near_dup import near_duplicates
 from tessel.llm.oracle import SQL  # noqa: F401
 from tessel.llm.packing import pack
 from tessel.llm.quality import COUNTS, quality_rules
@@ -30,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
@@ -38,6 +43,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_near_dup": op7_near_dup,
     "op8_decontamination": op8_decontamination,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
