@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, documents
 from tessel.llm.decontam import find_contamination
+from tessel.llm.line_runs import repeated_runs
 from tessel.llm.near_dup import near_duplicates
 from tessel.llm.oracle import SQL  # noqa: F401
 from tessel.llm.packing import pack
 from tessel.llm.quality import COUNTS, quality_rules
 from tessel.llm.token_files import read_token_files, write_token_files
 from tessel.llm.tokens import vocabulary_path
+from tessel.llm.unit_dedup import repeated_spans
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +43,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
 
 
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each span to remove."""
+    return repeated_spans(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each run of lines to delete."""
+    runs = repeated_runs(documents(spark, sf_dir, "doc_id", "text"))
+    return runs.select(F.col("doc").alias("doc_id"), F.col("lines")[0].alias("first_line"), F.size("lines").cast("long").alias("n_lines"), "n_words", "depth", F.col("first_doc").alias("first_doc_id"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op7_near_dup": op7_near_dup,
     "op8_decontamination": op8_decontamination,
+    "op9_unit_dedup": op9_unit_dedup,
+    "op10_line_runs": op10_line_runs,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
 }
