@@ -13,9 +13,11 @@ import numpy as np
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
 DOUBLE_SPACE = re.compile("[ \n][ \n]")
-MARKS = ".,;:!?"
 #: Words that the normalisers of both vocabularies change in letter case at most, and keep as one pre-token.
-PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+PLAIN_WORD = re.compile(f"\t?({WORD})")
+#: A word that begins a line or is followed by an ASCII mark; the apostrophe isn't one, as it can belong to a word.
+PARTED = re.compile(f"(\n?)({WORD})([!-&(-/:-@[-`{{-~].*)?", re.DOTALL)
 #: A known piece is kept as the place of its ids and, in the lower bits, their number.
 COUNT_BITS = 24
 
@@ -29,10 +31,11 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Encodes texts with the tokenizers library and keeps the ids of pieces it has met.
 
-    A piece is a run of spaces and line feeds with the run of other characters behind it; a mark
-    behind letters is encoded apart. Both vocabularies cut every text in these places before they
-    merge anything (no pre-token has white space behind other characters, or a mark behind
-    letters), so a text's ids are those of its pieces. Texts with other white space are encoded whole.
+    A piece is a run of spaces and line feeds with the run of other characters behind it; what
+    follows the letters of a word from an ASCII mark on, and a line feed in front of it, are encoded
+    apart. Both vocabularies cut every text in these places before they merge anything (no pre-token
+    has white space behind other characters, or a mark behind letters), so a text's ids are those of
+    its pieces. Texts with other white space are encoded whole.
     Pieces are kept without the one space in front of them, others behind a tab, which no piece has.
     The memory is emptied when it holds `most` pieces or `most_ids` ids.
     """
@@ -49,7 +52,7 @@ class Encoder:
         self.bytes_as = dict(zip([b for b in range(256) if b not in shown], map(chr, range(256, 512)), strict=False))
         self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.model.end_of_word_suffix else " "
         probe = ["a", "Straße", "THE", "Éÿ", "wqxzzk"]
-        self.direct = all(self._word(x) == self.tokenizer.encode(" " + x, add_special_tokens=False).ids for x in probe)
+        self.direct = all(self._word(x, y) == self.tokenizer.encode(y + x, add_special_tokens=False).ids for x in probe for y in ("", " "))
         self.clear()
 
     def clear(self) -> None:
@@ -57,28 +60,42 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a plain word behind a space, by the vocabulary's merges alone."""
-        text = self.space + (word.lower() if self.lower else word)
+    def _word(self, word: str, space: str = " ") -> list[int]:
+        """Ids of a plain word, with or without a space in front, by the vocabulary's merges alone."""
+        if self.lower:
+            word = word.lower()
+        text = (self.space and space) + word
         return [x.id for x in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.bytes_as))]
 
     def learn(self, keys: list[str]) -> None:
         """Adds the ids of pieces that aren't known."""
-        marked = [x for x in keys if x[-1:] in MARKS and x[-2:-1].isalpha()]
-        wanted = {*keys}.difference(marked).union((x[:-1] for x in marked), ("\t" + x[-1] for x in marked))
-        plain = [x for x in wanted if x not in self.known]
-        if self.direct:
-            words = [x for x in plain if PLAIN_WORD.fullmatch(x)]
-            if words:
-                plain = [x for x in plain if not PLAIN_WORD.fullmatch(x)]
-                self._put_lists(words, list(map(self._word, words)))
+        parted, wanted = {}, set()
+        for key in keys:
+            m = PARTED.fullmatch(key)
+            if m and (m[1] or m[3]):
+                parted[key] = parts = ["\t\n", "\t" + m[2]] if m[1] else [m[2]]
+                if m[3]:
+                    parts.append("\t" + m[3])
+                wanted.update(parts)
+            else:
+                wanted.add(key)
+        words, texts, plain = [], [], []
+        for key in wanted:
+            if key not in self.known:
+                if self.direct and (m := PLAIN_WORD.fullmatch(key)):
+                    plain.append(key)
+                    words.append(self._word(m[1], "" if key[0] == "\t" else " "))
+                else:
+                    texts.append(key)
         if plain:
-            texts = [x[1:] if x[:1] == "\t" else x if x[:1] == "\n" else " " + x for x in plain]
-            self._put_lists(plain, [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        if marked:
-            pairs = np.array([self.known[k] for x in marked for k in (x[:-1], "\t" + x[-1])], dtype=np.int64)
-            ids, counts = self._ids(pairs)
-            self._put(marked, ids, counts[::2] + counts[1::2])
+            self._put_lists(plain, words)
+        if texts:
+            whole = [x[1:] if x[:1] == "\t" else x if x[:1] == "\n" else " " + x for x in texts]
+            self._put_lists(texts, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
+        if parted:
+            ids, counts = self._ids(np.array([self.known[x] for parts in parted.values() for x in parts], dtype=np.int64))
+            sizes = np.fromiter(map(len, parted.values()), dtype=np.int64, count=len(parted))
+            self._put(parted, ids, np.add.reduceat(counts, np.cumsum(sizes) - sizes))
 
     def _put_lists(self, keys: list[str], lists: list[list[int]]) -> None:
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
