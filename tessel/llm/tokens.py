@@ -15,7 +15,6 @@ PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
 DOUBLE_SPACE = re.compile("[ \n][ \n]")
 #: Words that the normalisers of both vocabularies change in letter case at most, and keep as one pre-token.
 WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-PLAIN_WORD = re.compile(f"\t?({WORD})")
 #: A word that begins a line or is followed by an ASCII mark; the apostrophe isn't one, as it can belong to a word.
 PARTED = re.compile(f"(\n?)({WORD})([!-&(-/:-@[-`{{-~].*)?", re.DOTALL)
 #: A known piece is kept as the place of its ids and, in the lower bits, their number.
@@ -50,7 +49,8 @@ class Encoder:
         #: Byte-level vocabularies write bytes as printable characters: those that print as they are, others from U+0100 on.
         shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
         self.bytes_as = dict(zip([b for b in range(256) if b not in shown], map(chr, range(256, 512)), strict=False))
-        self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.model.end_of_word_suffix else " "
+        self.lower, self.merge = self.tokenizer.normalizer is not None, self.tokenizer.model.tokenize
+        self.spaces = {" ": "" if self.tokenizer.model.end_of_word_suffix else self.bytes_as[32]}
         probe = ["a", "Straße", "THE", "Éÿ", "wqxzzk"]
         self.direct = all(self._word(x, y) == self.tokenizer.encode(y + x, add_special_tokens=False).ids for x in probe for y in ("", " "))
         self.clear()
@@ -64,31 +64,35 @@ class Encoder:
         """Ids of a plain word, with or without a space in front, by the vocabulary's merges alone."""
         if self.lower:
             word = word.lower()
-        text = (self.space and space) + word
-        return [x.id for x in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.bytes_as))]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes_as)
+        return [x.id for x in self.merge((self.spaces[space] + word) if space else word)]
 
-    def learn(self, keys: list[str]) -> None:
+    def learn(self, keys: set[str]) -> None:
         """Adds the ids of pieces that aren't known."""
-        parted, wanted = {}, set()
+        known, parted, plain, texts = self.known, {}, {}, set()
+        direct, word_of, match = self.direct, self._word, PARTED.fullmatch
         for key in keys:
-            m = PARTED.fullmatch(key)
-            if m and (m[1] or m[3]):
-                parted[key] = parts = ["\t\n", "\t" + m[2]] if m[1] else [m[2]]
-                if m[3]:
-                    parts.append("\t" + m[3])
-                wanted.update(parts)
-            else:
-                wanted.add(key)
-        words, texts, plain = [], [], []
-        for key in wanted:
-            if key not in self.known:
-                if self.direct and (m := PLAIN_WORD.fullmatch(key)):
-                    plain.append(key)
-                    words.append(self._word(m[1], "" if key[0] == "\t" else " "))
+            m = match(key)
+            if m is None:
+                texts.add(key)
+                continue
+            line, word, rest = m.groups()
+            bare = "\t" + word if line else word
+            if line or rest:
+                parted[key] = parts = ["\t\n", bare] if line else [bare]
+                if rest:
+                    parts.append("\t" + rest)
+                    texts.add(parts[-1])
+            if bare not in known and bare not in plain:
+                if direct:
+                    plain[bare] = word_of(word, "" if line else " ")
                 else:
-                    texts.append(key)
+                    texts.add(bare)
+        texts.add("\t\n")
+        texts = [x for x in texts if x not in known]
         if plain:
-            self._put_lists(plain, words)
+            self._put_lists(plain, list(plain.values()))
         if texts:
             whole = [x[1:] if x[:1] == "\t" else x if x[:1] == "\n" else " " + x for x in texts]
             self._put_lists(texts, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
@@ -128,10 +132,13 @@ class Encoder:
         else:
             keys = text.replace("\n", " \n").split(" ")
             keys[0] = "\t" + keys[0]
-        at = list(map(self.known.get, keys))
+        known = self.known
+        at = list(map(known.get, keys))
         if None in at:
-            self.learn(list({x for x, k in zip(keys, at, strict=True) if k is None}))
-            at = list(map(self.known.__getitem__, keys))
+            new = [k for k, x in enumerate(at) if x is None]
+            self.learn({keys[k] for k in new})
+            for k in new:
+                at[k] = known[keys[k]]
         return self._ids(np.array(at, dtype=np.int64))[0]
 
 
