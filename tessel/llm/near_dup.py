@@ -5,10 +5,13 @@
 2. 128 registers in 32 bands of 4 make two sets of similarity 0.75 meet in some band with
    probability 1 - (1 - 0.75^4)^32 > 0.99999.
 3. A band that several classes share is a bucket. Buckets aren't expanded into pairs: each member
-   is compared with the bucket's centre, in rounds. Similar ones are linked.
-4. A bucket stays open only while two members are in different components and could still be
-   similar. 1 - similarity is a metric, so a member within 0.25 of the centre and one beyond 0.5
-   cannot be. After `star_rounds` centres the pairs that are left are compared themselves.
+   is compared with the bucket's centre, the member that shares bands with most others, and the two
+   are linked if they are similar.
+4. Members of buckets that are still in different components (unlike texts that share a passage,
+   edges of a group) are searched for the pairs that are left by prefix filtering, which is exact:
+   similar sets share one of their rarest quarter of elements. Only elements that lie in two
+   components give pairs, and of those the members of the larger component aren't paired among
+   themselves.
 5. Links are confirmed on the full sets, and grouped by union-find.
 
 Defined results: null and empty texts, or texts of white space, have an empty set and stand alone;
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, flat_binary, flat_lists, joined, raw_texts
+from tessel.llm.common import Scratch, flat_binary, flat_lists, raw_texts
 from tessel.llm.components import components
 from tessel.llm.superminhash import band_hashes, mix, shingle_set, signatures
 
@@ -76,68 +79,75 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, common long, either long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, bands: int = 32, rows: int = 4, star_rounds: int = 3, scratch: Scratch | None = None, log=None) -> DataFrame:
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members with different labels that share an element of their prefixes.
+
+    members: id, label, n_shingles. Elements are ordered by how many members hold them; a set's
+    prefix is so long that what lies behind it is too little for a similarity of `percent`.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("set")]
+            which = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.record_batch([batch.column("id").take(which), pa.array(np.concatenate(sets))], names=["id", "e"])
+
+    held = sets.join(members.select("id").hint("merge"), "id", "left_semi").mapInArrow(elements, "id long, e long")
+    often = held.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
+    shared = held.join(often.hint("merge"), "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("s"))
+    # elements of this set alone come first in the order
+    n = F.col("n_shingles").cast("int")
+    room = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1 - (n - F.size("s"))
+    prefix = shared.join(members, "id").where(room > 0).select("id", "label", "n_shingles", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("id", "label", "n_shingles", F.col("x.e").alias("e"))
+    sizes = prefix.groupBy("e", "label").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("e").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1").select("e", F.col("top.label").alias("major"))
+    met = prefix.join(major, "e")
+    one = met.where(F.col("label") != F.col("major")).select("e", F.col("id").alias("i"), F.col("label").alias("l"), F.col("n_shingles").alias("m"))
+    both = met.join(one, "e").where((F.col("label") != F.col("l")) & ((F.col("label") == F.col("major")) | (F.col("id") < F.col("i"))))
+    both = both.where(100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
+    return both.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, bands: int = 32, rows: int = 4, scratch: Scratch | None = None, log=None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     scratch = scratch or Scratch(docs.sparkSession, "near-dup")
-    log = log or (lambda *_: None)
     similar = 100 * F.col("common") >= percent * F.col("either")
 
-    # a null doc_id has a null class
     sign = scratch.save(signed(docs, shingle, bands, rows), "signed")
-    classes = sign.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = sign.where(real).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     copies = scratch.save(classes.where("n > 1").select("fa", "fb", "least"), "copies")
-    member = joined(sign.select("doc_id", "n_shingles", "fa", "fb"), copies, ["fa", "fb"], "left")
+    # a null doc_id has a null class
+    member = sign.select("doc_id", "n_shingles", "fa", "fb").join(copies, ["fa", "fb"], "left")
     member = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("class"))
 
     # rows of a class other than the one that stands for it have no bands of their own
-    first = joined(sign.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()), copies, ["fa", "fb"], "left").where(F.col("least").isNull() | (F.col("least") == F.col("doc_id")))
+    first = sign.where(real).join(copies, ["fa", "fb"], "left").where(F.col("least").isNull() | (F.col("least") == F.col("doc_id")))
     banded = first.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band")
-    buckets = scratch.save(banded.join(shared, "band").select("band", F.col("doc_id").alias("id"), "n_shingles").distinct(), "buckets")
-    if buckets.isEmpty():
-        return member.select("doc_id", "n_shingles", F.col("class").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class"))).alias("kept"))
-
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "n")
+    buckets = scratch.save(banded.join(shared.hint("merge"), "band").select("band", F.col("doc_id").alias("id"), "n_shingles", "n").distinct(), "buckets")
+
+    ids = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    centre = buckets.join(ids, "id").groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n_shingles")).alias("c"))
+    centre = centre.select("band", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("m"))
+    near = (F.col("id") != F.col("b")) & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
+    pairs = buckets.join(centre, "band").where(near).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch.save(sets_of(joined(texts, wanted, ["doc_id"], "left_semi"), shingle), "sets", compression="none")
-
-    # members of open buckets: their component, and their distance to the centres so far
-    todo = buckets.select("band", "id", "n_shingles", F.col("id").alias("label"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    links, seen, labels = None, None, None
-    for number in range(star_rounds + 1):
-        star = number < star_rounds
-        if star:
-            centre = todo.groupBy("band").agg(F.min(F.struct("id", "label", "n_shingles")).alias("c"))
-            both = todo.join(centre, "band").select("id", "label", "n_shingles", F.col("c.id").alias("b"), F.col("c.label").alias("l"), F.col("c.n_shingles").alias("m"))
-        else:
-            other = todo.select("band", F.col("id").alias("b"), F.col("label").alias("l"), F.col("n_shingles").alias("m"), F.col("low").alias("lo"), F.col("high").alias("hi"))
-            apart = F.greatest(F.col("low") - F.col("hi"), F.col("lo") - F.col("high"))
-            both = todo.join(other, "band").where((F.col("id") > F.col("b")) & (apart <= 1 - percent / 100 + 1e-9))
-        near = (F.col("id") != F.col("b")) & (F.col("label") != F.col("l")) & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
-        pairs = both.where(near).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        new = scratch.save(compared(scratch.save(pairs, f"pairs{number}"), sets), f"compared{number}")
-        seen = new if seen is None else seen.unionByName(new)
-        found = new.where(similar).select("a", "b")
-        old = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(old, scratch, f"labels{number}")
-        if not star:
-            log("rest", new.count())
-            break
-        # a bucket's centre is done; the others stay until all are in one component
-        rest = todo.join(centre.select("band", F.col("c.id").alias("centre")), "band").where(F.col("id") != F.col("centre"))
-        if number == 0:  # all were compared with the first centre, but for sizes too different
-            distance = new.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"))
-            rest = rest.withColumns({"a": F.greatest("id", "centre"), "b": F.least("id", "centre")}).join(distance, ["a", "b"], "left")
-            rest = rest.withColumns({"low": F.coalesce("d", "low"), "high": F.coalesce("d", "high")})
-        rest = joined(rest.drop("label"), labels.withColumnRenamed("node", "id"), ["id"], "left")
-        rest = scratch.save(rest.select("band", "id", "n_shingles", F.coalesce("label", "id").alias("label"), "low", "high"), f"rest{number}")
-        some = rest.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-        todo = scratch.save(rest.join(some.where("l < h").select("band"), "band"), f"todo{number}")
-        log("round", number, "pairs", new.count(), "links", found.count(), "open rows", todo.count())
-        if todo.isEmpty():
-            break
-    out = joined(member, labels.select(F.col("node").alias("class"), "label"), ["class"], "left")
+    wanted = ids.select(F.col("id").alias("doc_id"))
+    sets = scratch.save(sets_of(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle), "sets", compression="none")
+    seen = scratch.save(compared(scratch.save(pairs, "pairs0"), sets), "compared0")
+    links = seen.where(similar).select("a", "b")
+    labels = components(links, scratch, "labels0")
+
+    now = buckets.select("band", "id", "n_shingles").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    open_members = scratch.save(now.join(split, "band").select("id", "label", "n_shingles").distinct(), "open")
+    rest = rare_pairs(open_members, sets, percent).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.save(compared(scratch.save(rest, "pairs1"), sets), "compared1")
+    if log:
+        log("pairs", seen.count(), "links", links.count(), "open", open_members.count(), "rest", more.count(), "links", more.where(similar).count())
+    links = more.where(similar).select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    labels = components(links, scratch, "labels1")
+    out = member.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
     out = out.withColumn("component_id", F.coalesce("label", "class"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
