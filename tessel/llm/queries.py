@@ -14,9 +14,14 @@ from tessel.llm.packing import pack
 from tessel.llm.quality import COUNTS, quality_rules
 from tessel.llm.token_files import read_token_files, write_token_files
 from tessel.llm.tokens import vocabulary_path
+from tessel.llm.toxicity import toxicity
 from tessel.llm.unit_dedup import repeated_spans
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules(documents(spark, sf_dir, "doc_id", "text", "source"), "doc_id")
     return ruled.select("row.doc_id", *COUNTS, "base_failed", "kept", "host_strict")
@@ -55,6 +60,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op7_near_dup": op7_near_dup,
     "op8_decontamination": op8_decontamination,
