@@ -83,7 +83,8 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of members with different labels that share an element of their prefixes.
 
     members: id, label, n_shingles. Elements are ordered by how many members hold them; a set's
-    prefix is so long that what lies behind it is too little for a similarity of `percent`.
+    prefix is so long that what lies behind it is too little for a similarity of `percent`; two sets
+    that are similar also hold enough behind the first element they share.
     """
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +98,17 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = held.join(often.hint("merge"), "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("s"))
     # elements of this set alone come first in the order
     n = F.col("n_shingles").cast("int")
-    room = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1 - (n - F.size("s"))
-    prefix = shared.join(members, "id").where(room > 0).select("id", "label", "n_shingles", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("id", "label", "n_shingles", F.col("x.e").alias("e"))
+    alone = n - F.size("s")
+    room = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1 - alone
+    prefix = shared.join(members, "id").where(room > 0).select("id", "label", "n_shingles", (alone + 1).alias("next"), F.posexplode(F.slice("s", F.lit(1), room)).alias("k", "x"))
+    prefix = prefix.select("id", "label", "n_shingles", (F.col("next") + F.col("k")).alias("at"), F.col("x.e").alias("e"))
     sizes = prefix.groupBy("e", "label").agg(F.count("*").alias("n"))
     major = sizes.groupBy("e").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1").select("e", F.col("top.label").alias("major"))
     met = prefix.join(major, "e")
-    one = met.where(F.col("label") != F.col("major")).select("e", F.col("id").alias("i"), F.col("label").alias("l"), F.col("n_shingles").alias("m"))
-    both = met.join(one, "e").where((F.col("label") != F.col("l")) & ((F.col("label") == F.col("major")) | (F.col("id") < F.col("i"))))
-    both = both.where(100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
+    one = met.where(F.col("label") != F.col("major")).select("e", F.col("id").alias("i"), F.col("label").alias("l"), F.col("n_shingles").alias("m"), F.col("at").alias("j"))
+    # behind the first element that two sets share, both must still hold enough
+    enough = (100 + percent) * (F.least(F.col("n_shingles") - F.col("at"), F.col("m") - F.col("j")) + 1) >= percent * (F.col("n_shingles") + F.col("m"))
+    both = met.join(one, "e").where((F.col("label") != F.col("l")) & ((F.col("label") == F.col("major")) | (F.col("id") < F.col("i"))) & enough)
     return both.select(F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct()
 
 
