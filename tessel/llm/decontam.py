@@ -189,6 +189,8 @@ def search_shard(phrases: Phrases, ids: list[np.ndarray]) -> tuple[list[tuple[np
     low, high = index.search(phrases.table, phrases.lengths)
     which = np.repeat(np.arange(len(low)), high - low)
     at = index.locate(concat_ranges(low, high - low))
+    if not len(at):
+        return spans, items
     order = np.argsort(doc[at], kind="stable")
     at, which = at[order], which[order]
     edges = np.flatnonzero(np.diff(doc[at], prepend=-1))
