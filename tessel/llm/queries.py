@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, documents
 from tessel.llm.decontam import find_contamination
+from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_runs import repeated_runs
 from tessel.llm.near_dup import near_duplicates
 from tessel.llm.oracle import SQL  # noqa: F401
 from tessel.llm.packing import pack
+from tessel.llm.pseudo_likelihood import score_documents
 from tessel.llm.quality import COUNTS, quality_rules
 from tessel.llm.token_files import read_token_files, write_token_files
 from tessel.llm.tokens import vocabulary_path
@@ -22,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each match."""
+    return scan_licenses(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules(documents(spark, sf_dir, "doc_id", "text", "source"), "doc_id")
     return ruled.select("row.doc_id", *COUNTS, "base_failed", "kept", "host_strict")
@@ -38,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -61,7 +72,9 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op7_near_dup": op7_near_dup,
     "op8_decontamination": op8_decontamination,
     "op9_unit_dedup": op9_unit_dedup,
