@@ -1,8 +1,76 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: quality rules, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last give the columns of `docs`. Rows that share a
+doc_id stay or go together in the third and fourth stage; a null doc_id is never dropped there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.llm.common import Scratch, joined, tuned
+from tessel.llm.decontam import find_contamination
+from tessel.llm.line_runs import line_dedup
+from tessel.llm.near_dup import near_duplicates
+from tessel.llm.packing import pack
+from tessel.llm.quality import quality_rules
+from tessel.llm.tokens import vocabulary_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their host's verdict keep."""
+    return quality_rules(docs).where("kept").select("row.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines; those left without a word go."""
+    return line_dedup(docs)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Documents whose doc_id isn't among `ids`."""
+    gone = Scratch(docs.sparkSession, name).save(ids.select("doc_id").distinct(), "gone")
+    return joined(docs, gone, ["doc_id"], "left_anti")
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    return without_ids(docs, near_duplicates(docs).where("not kept"), "near-dup-gone")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in benchmark phrases."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "contaminated")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences, with their ids."""
+    packed = pack(docs, vocabulary_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Tokenising isn't expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over all of `documents`."""
+    scratch = Scratch(tuned(spark), "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+        docs = out
+    return docs
