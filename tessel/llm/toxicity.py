@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +39,7 @@ _letters = r"[^\W\d_]"
 WORDS = re.compile(f"{_letters}+")
 SPACED = re.compile(rf"(?<![^\W_])(?:{_letters}([ .\-_*·]))(?:{_letters}\1)+{_letters}(?![^\W_])")
 DISGUISED = re.compile(rf"\S*(?:{_letters}[0-9@$!|+(€£]|[0-9@$|+(€£]{_letters})\S*|[^\W_]*({_letters})\1\1[^\W_]*")
+REPEATED = re.compile(r"(.)\1\1")
 TAIL = re.compile(r"[!.,;:?\"')*#%&]+$|\${3,}\W*$")
 
 
@@ -159,43 +159,52 @@ class Decoder:
             found = self.known[unit] = WORDS.findall(self.decode(core, spaced)) if core else []
         return found
 
+    def of_token(self, token: str) -> list[str]:
+        """Words of a token (what stands between white space), with those that it stands for if it is disguised."""
+        if token.isalpha() and not REPEATED.search(token):
+            return [token]
+        words = WORDS.findall(token)
+        for m in DISGUISED.finditer(token):
+            words += self.restored(m.group())
+        return words
+
+    def of_spaced(self, text: str) -> list[str]:
+        return [w for m in SPACED.finditer(text) for w in self.restored(m.group())]
+
     def words(self, text: str) -> set[str]:
         """Words of a text in lower case, with those that disguised units stand for."""
         text = text.lower()
-        words = set(WORDS.findall(text))
-        for pattern in (SPACED, DISGUISED):
-            for m in pattern.finditer(text):
-                words.update(self.restored(m.group()))
-        return words
+        return {w for token in set(text.split()) for w in self.of_token(token)}.union(self.of_spaced(text))
 
 
 def features_of(word: str) -> list[str]:
     return [word] + [f"{word[:k]}-" for k in (4, 5) if len(word) > k]
 
 
-def feature_id(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature) - 2**63
-
-
 class Scorer:
-    def __init__(self, model: np.ndarray, weights: dict[int, float], bias: float, most: int = 500_000):
+    def __init__(self, model: np.ndarray, weights: dict[str, float], bias: float, most: int = 1_000_000):
         self.decoder, self.weights, self.bias, self.most = Decoder(model), weights, bias, most
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> set[int]:
-        """The model's features in a text."""
-        found: set[int] = set()
-        for word in self.decoder.words(text):
-            if (ids := self.known.get(word)) is None:
-                if len(self.known) > self.most:
-                    self.known.clear()
-                ids = self.known[word] = tuple(x for x in map(feature_id, features_of(word)) if x in self.weights)
-            if ids:
-                found.update(ids)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def picked(self, words: list[str]) -> tuple[str, ...]:
+        weights = self.weights
+        return tuple(x for w in words for x in features_of(w) if x in weights)
+
+    def features(self, text: str) -> set[str]:
+        """The model's features in a text; those of a token are looked up once."""
+        text, known = text.lower(), self.known
+        found = set(self.picked(self.decoder.of_spaced(text)))
+        for token in set(text.split()):
+            if (own := known.get(token)) is None:
+                if len(known) > self.most:
+                    known.clear()
+                own = known[token] = self.picked(self.decoder.of_token(token))
+            if own:
+                found.update(own)
         return found
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + sum(sorted(self.weights[x] for x in self.ids(text)))))))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + sum(sorted(self.weights[x] for x in self.features(text)))))))
 
 
 class _Sent:
@@ -280,22 +289,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_train: int = 16_000, most_
     sizes = texts.groupBy("toxic").count().collect()
     total = sum(r["count"] for r in sizes)
     share = sum(r["count"] for r in sizes if r.toxic) / total if total else 0.0
-    chosen: list[int] = []
+    chosen: list[str] = []
     if 0 < share < 1:
         seen = texts.mapInArrow(counted, "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= least_docs)
         told = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        chosen = [feature_id(r.f) for r in seen.orderBy(F.abs(told).desc(), "f").select("f").limit(most_features).collect()]
+        chosen = [r.f for r in seen.orderBy(F.abs(told).desc(), "f").select("f").limit(most_features).collect()]
     place = {x: k for k, x in enumerate(chosen)}
     picked = _Sent(spark.sparkContext.broadcast((model, dict.fromkeys(chosen, 0.0), 0.0)), f"picked-{uuid.uuid4()}")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = picked.scorer()
         for batch in batches:
-            yield pa.record_batch([batch.column("toxic"), pa.array([sorted(scorer.ids(x or "")) for x in batch.column("text").to_pylist()], type=pa.list_(pa.int64()))], names=["toxic", "ids"])
+            yield pa.record_batch([batch.column("toxic"), pa.array([sorted(scorer.features(x or "")) for x in batch.column("text").to_pylist()], type=pa.list_(pa.string()))], names=["toxic", "features"])
 
     weights, bias = {}, 0.0
     if chosen:
-        rows = sorted((tuple(place[x] for x in r.ids), int(bool(r.toxic))) for r in texts.mapInArrow(rows_of, "toxic int, ids array<long>").collect())
+        rows = sorted((tuple(place[x] for x in r.features), int(bool(r.toxic))) for r in texts.mapInArrow(rows_of, "toxic int, features array<string>").collect())
         w, bias = fit_logistic([list(x) for x, _ in rows], np.array([y for _, y in rows], dtype=float), len(chosen))
         weights = dict(zip(chosen, w.tolist(), strict=True))
     fitted = _Sent(spark.sparkContext.broadcast((model, weights, bias)), f"fitted-{uuid.uuid4()}")
