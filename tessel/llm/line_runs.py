@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, joined, raw_texts
+from tessel.llm.common import Scratch, raw_texts
 
 LAST = 2**63 - 1
 SUFFIX = ["doc", "version", "place"]
@@ -120,13 +120,15 @@ def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10,
     return hit.mapInArrow(runs, "doc long, version long, lines array<long>, n_words long, depth long, first_doc long")
 
 
-def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, scratch: Scratch | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, most_broadcast: int = 2_000_000, scratch: Scratch | None = None) -> DataFrame:
     """`docs` with the later copies of repeated runs deleted from `text`; documents of which no word is left go."""
     scratch = scratch or Scratch(docs.sparkSession, "line-runs")
     runs = scratch.save(repeated_runs(docs, least_lines, least_words, scratch), "runs")
+    # a bound on what is broadcast: so many line numbers in all, counted
+    few = (runs.agg(F.sum(F.size("lines"))).first()[0] or 0) <= most_broadcast
     gone = runs.groupBy(F.col("doc").alias("rank_of_doc"), F.col("version").alias("text_version")).agg(F.flatten(F.collect_list("lines")).alias("deleted_lines"))
     row = docs.select(F.struct(*docs.columns).alias("row"), doc_rank().alias("rank_of_doc"), version().alias("text_version"))
-    both = joined(row, gone, ["rank_of_doc", "text_version"], "left")
+    both = row.join(F.broadcast(gone) if few else gone.hint("merge"), ["rank_of_doc", "text_version"], "left")
     left = F.filter(F.split("row.text", "\n"), lambda x, k: ~F.array_contains("deleted_lines", k))
     text = F.when(F.col("deleted_lines").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     out = both.withColumn("new_text", text).where(F.col("deleted_lines").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))

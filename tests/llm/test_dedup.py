@@ -50,11 +50,12 @@ def test_runs_are_those_of_all_windows(spark, least_lines, least_words):
     assert {d: sorted(x) for d, x in got.items()} == brute_runs(rows, least_lines, least_words)
 
 
-def test_line_dedup_keeps_columns_and_other_documents(spark):
+@pytest.mark.parametrize("most_broadcast", [0, 10**6])
+def test_line_dedup_keeps_columns_and_other_documents(spark, most_broadcast):
     rows = lined()
     want, kept = brute_runs(rows, 2, 10), {}
     df = table(spark, rows, True)
-    out = line_dedup(df.repartition(3))
+    out = line_dedup(df.repartition(3), most_broadcast=most_broadcast)
     assert out.columns == df.columns
     for r in out.collect():
         kept[r.doc_id] = r.text
