@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from tessel.functions.grid import PLACEMENTS
+from tessel.functions.grid import PLACEMENTS, Grid
 from tessel.functions.kernels import Tiling
 
 PROBLEMS = ("fw", "ge", "paf", "gap")
@@ -19,7 +19,7 @@ class SolveOptions:
     strategy    cells: plain Catalyst on cells, for small tables; shuffle: blocks meet their operands
                 by shuffled joins; broadcast: pivot blocks are broadcast while they have at most
                 `broadcast_bytes`, and shuffled beyond that
-    grid        blocks on a side
+    grid        blocks on a side; 0: as many as make blocks of at most `block_rows` rows
     kernel      iterative, or tiled with `r_shared` tiles a side down to `base_size` rows
     placement   ph, md or cus (with `nodes` executors), over `partitions` partitions (0: the session's)
     persist     every pivot's table is written to the shared folder, so plans stay short and a lost
@@ -27,7 +27,8 @@ class SolveOptions:
     """
 
     strategy: str = "broadcast"
-    grid: int = 4
+    grid: int = 0
+    block_rows: int = 512
     kernel: str = "iterative"
     r_shared: int = 2
     base_size: int = 64
@@ -41,8 +42,11 @@ class SolveOptions:
         for name, value, known in (("strategy", self.strategy, STRATEGIES), ("kernel", self.kernel, KERNELS), ("placement", self.placement, PLACEMENTS), ("persist", self.persist, PERSIST)):
             if value not in known:
                 raise ValueError(f"{name} is one of {', '.join(known)}, not {value!r}")
-        if self.grid < 1 or self.nodes < 1 or self.partitions < 0:
-            raise ValueError("grid and nodes are at least 1, partitions at least 0")
+        if self.grid < 0 or self.block_rows < 1 or self.nodes < 1 or self.partitions < 0:
+            raise ValueError("grid and partitions are at least 0, block_rows and nodes at least 1")
+
+    def grid_of(self, n: int) -> Grid:
+        return Grid(n, self.grid or -(-n // self.block_rows))
 
     @property
     def tiling(self) -> Tiling:

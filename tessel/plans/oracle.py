@@ -93,7 +93,7 @@ FANOUT = """SELECT 'fw' AS problem, range::INT AS k, 10::BIGINT AS pivot_uses, 5
 UNION ALL SELECT 'ge', range::INT, 2 * (5 - range), 2 * (5 - range) * (5 - range) FROM range(6) UNION ALL SELECT 'paf', range::INT, range, range * (range + 1) FROM range(6)"""
 
 SQL = {
-    **dict.fromkeys(("fw_apsp_cells", "fw_apsp_shuffle", "fw_apsp_broadcast", "fw_apsp_tiled", "fw_apsp_md", "fw_apsp_cus", "sink_roundtrip"), FW),
+    **dict.fromkeys(("fw_apsp_auto", "fw_apsp_cells", "fw_apsp_shuffle", "fw_apsp_broadcast", "fw_apsp_tiled", "fw_apsp_md", "fw_apsp_cus", "sink_roundtrip"), FW),
     "fw_minplus_step": MINPLUS,
     "fw_region_closure": REGION,
     **dict.fromkeys(("ge_upper_cells", "ge_upper_shuffle", "ge_upper_broadcast", "ge_upper_tiled"), UPPER),

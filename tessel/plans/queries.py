@@ -61,7 +61,7 @@ def determinant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gram_determinant(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(solve.determinant(solve.factors(inputs.gram_cells(spark, sf), None, SolveOptions(kernel="tiled", base_size=8))), "log10_abs")
+    return rounded(solve.determinant(solve.factors(inputs.gram_cells(spark, sf), None, SolveOptions(grid=4, kernel="tiled", base_size=8))), "log10_abs")
 
 
 def system(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return whole(solve.align_cells(*inputs.sequences(spark, sf)))
+    return whole(solve.align_cells(*inputs.sequences(spark, sf), SolveOptions(grid=4)))
 
 
 def alignment_cost(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,15 +151,16 @@ def roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "fw_apsp_cells": distances(strategy="cells"),
-    "fw_apsp_shuffle": distances(strategy="shuffle"),
+    "fw_apsp_auto": distances(),
+    "fw_apsp_shuffle": distances(strategy="shuffle", grid=4),
     "fw_apsp_broadcast": distances(strategy="broadcast", grid=5),
     "fw_apsp_tiled": distances(kernel="tiled", base_size=3, r_shared=3, grid=3),
-    "fw_apsp_md": distances(placement="md", partitions=6),
+    "fw_apsp_md": distances(placement="md", partitions=6, grid=4),
     "fw_apsp_cus": distances(placement="cus", partitions=4, nodes=4, persist="disk", grid=3),
     "fw_minplus_step": minplus,
     "fw_region_closure": region_closure,
     "ge_upper_cells": upper(strategy="cells"),
-    "ge_upper_shuffle": upper(strategy="shuffle"),
+    "ge_upper_shuffle": upper(strategy="shuffle", grid=4),
     "ge_upper_broadcast": upper(strategy="broadcast", grid=5),
     "ge_upper_tiled": upper(kernel="tiled", base_size=2, r_shared=2, grid=3),
     "ge_lower": lower,
@@ -168,11 +169,11 @@ QUERIES: dict[str, Query] = {
     "ge_solve": system,
     "ge_literal_triu": literal,
     "paf_stub_cells": folded(False, strategy="cells"),
-    "paf_stub_shuffle": folded(False, strategy="shuffle"),
+    "paf_stub_shuffle": folded(False, strategy="shuffle", grid=4),
     "paf_stub_broadcast": folded(False, grid=5),
     "paf_contact_cells": folded(True, strategy="cells"),
     "paf_contact_shuffle": folded(True, strategy="shuffle", grid=3),
-    "paf_contact_broadcast": folded(True),
+    "paf_contact_broadcast": folded(True, grid=4),
     "paf_contact_matrix": contacts,
     "paf_score": score,
     "gap_align": alignment,

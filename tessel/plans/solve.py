@@ -22,6 +22,7 @@ from tessel.plans.options import KERNELS, PERSIST, PROBLEMS, STRATEGIES, SolveOp
 from tessel.plans.pivot import run_pivots
 from tessel.plans.wavefront import align_sequences, aligned_cells, letters
 from tessel.sources import inputs
+from tessel.sources.scratch import Scratch
 
 log = logging.getLogger(__name__)
 DEFAULT = SolveOptions()
@@ -41,16 +42,17 @@ def shortest_paths(edges: DataFrame, n: int | None = None, options: SolveOptions
     edges: src, dst, w. A weight of 0 is an edge, of parallel edges the least counts, a null weight
     is no edge. A negative cycle raises ValueError.
     """
-    kind = dict(edges.dtypes)["w"]
-    cells = edges.where("w is not null").select(F.col("src").cast("int").alias("i"), F.col("dst").cast("int").alias("j"), F.col("w").alias("v"))
+    kind, scratch = dict(edges.dtypes)["w"], Scratch(edges.sparkSession, "edges")
+    cells = edges.where("w is not null").groupBy(F.col("src").cast("int").alias("i"), F.col("dst").cast("int").alias("j")).agg(F.min("w").alias("v"))
+    cells = scratch.save(cells, "cells")  # the input is read once
     n = order_of(cells, n)
     if not cells.where("i = j and v < 0").isEmpty():
         raise ValueError("the graph has a negative cycle")
     own = cells.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0).cast(kind).alias("v"))
-    cells = cells.where("i <> j").groupBy("i", "j").agg(F.min("v").alias("v"))
+    cells = cells.where("i <> j")
     if options.strategy == "cells":
         return closure_cells(cells.unionByName(own)).select("i", "j", "v")
-    grid, rule = Grid(n, options.grid), recurrence.shortest_paths(options.tiling)
+    grid, rule = options.grid_of(n), recurrence.shortest_paths(options.tiling)
     found = to_cells(run_pivots(to_blocks(cells, grid, rule.missing, rule.diagonal), rule, grid, options), grid)
     if not found.where("i = j and v < 0").isEmpty():
         raise ValueError("the graph has a negative cycle")
@@ -59,11 +61,12 @@ def shortest_paths(edges: DataFrame, n: int | None = None, options: SolveOptions
 
 def factors(cells: DataFrame, n: int | None = None, options: SolveOptions = DEFAULT) -> DataFrame:
     """i, j, v of the packed unpivoted factors: multipliers below the diagonal, the upper factor on and above it. Absent cells are 0."""
+    cells = Scratch(cells.sparkSession, "cells").save(cells.select("i", "j", "v"), "cells")  # the input is read once
     n = order_of(cells, n)
     if options.strategy == "cells":
         grid = Grid(n, 1)
         return eliminate_cells(to_cells(to_blocks(cells, grid, 0.0), grid), n)
-    grid, rule = Grid(n, options.grid), recurrence.elimination(options.tiling)
+    grid, rule = options.grid_of(n), recurrence.elimination(options.tiling)
     return to_cells(run_pivots(to_blocks(cells, grid, rule.missing), rule, grid, options), grid)
 
 
@@ -116,7 +119,7 @@ def fold_protein(spark: SparkSession, n: int, chain: DataFrame | None = None, op
     else:
         rows = sorted(chain.collect())  # one small number for each of the table's n rows
         weight = contact_weight(np.array([r.h for r in rows]))
-    grid, rule = Grid(n, options.grid), recurrence.folding(weight)
+    grid, rule = options.grid_of(n), recurrence.folding(weight)
     keys = block_keys(spark, grid, upper=True)
     blocks = keys.select("*", F.array_repeat(F.lit(0.0), F.col("rows") * F.col("cols")).alias("data"))
     return to_cells(run_pivots(blocks, rule, grid, options), grid).where("i <= j")
@@ -136,7 +139,7 @@ def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--problem", choices=PROBLEMS, required=True)
     p.add_argument("--strategy", choices=STRATEGIES, default=DEFAULT.strategy)
-    p.add_argument("--grid", type=int, default=DEFAULT.grid, help="blocks on a side")
+    p.add_argument("--grid", type=int, default=DEFAULT.grid, help="blocks on a side; 0: by size")
     p.add_argument("--persist", choices=PERSIST, default=DEFAULT.persist)
     p.add_argument("--kernel", choices=KERNELS, default=DEFAULT.kernel)
     p.add_argument("--r-shared", type=int, default=DEFAULT.r_shared, help="tiles on a side of a tiled block")

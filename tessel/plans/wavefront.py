@@ -30,7 +30,7 @@ def letters(sequence: DataFrame) -> str:
 
 def align_sequences(spark: SparkSession, x: str, y: str, options: SolveOptions = SolveOptions(), gap: Gap = sum_gap) -> tuple[DataFrame, Grid, Grid]:  # noqa: B008
     """Blocks of the alignment table of x[1:] and y[1:], with the grids of its rows and columns."""
-    down, across = Grid(len(x), options.grid), Grid(len(y), options.grid)
+    down, across = options.grid_of(len(x)), options.grid_of(len(y))
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         bi, bj = key[0].as_py(), key[1].as_py()

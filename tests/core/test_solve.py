@@ -15,6 +15,7 @@ OPTIONS = [
     SolveOptions(strategy="shuffle", grid=3),
     SolveOptions(strategy="broadcast", grid=2, kernel="tiled", base_size=2, r_shared=2),
     SolveOptions(strategy="broadcast", broadcast_bytes=0, grid=5, placement="cus", partitions=4, nodes=4),
+    SolveOptions(block_rows=4, persist="disk"),
     SolveOptions(strategy="shuffle", grid=1, persist="memory", placement="md", partitions=3),
 ]
 
@@ -157,7 +158,7 @@ def test_placement(spark):
     assert place(keys, "md", 100, Grid(4, 4)).withColumn("p", F.spark_partition_id()).where("bi = 0 and bj = 1").first().p == 4
     with pytest.raises(ValueError):
         place(keys, "round", 3, Grid(4, 4))
-    for bad in ({"strategy": "x"}, {"kernel": "x"}, {"placement": "x"}, {"persist": "x"}, {"grid": 0}):
+    for bad in ({"strategy": "x"}, {"kernel": "x"}, {"placement": "x"}, {"persist": "x"}, {"grid": -1}):
         with pytest.raises(ValueError):
             SolveOptions(**bad)
 
