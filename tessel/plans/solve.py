@@ -154,7 +154,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--event-log", help="folder for Spark's event log")
     a = p.parse_args(args)
     logging.basicConfig(level=logging.INFO)
-    options = SolveOptions(a.strategy, a.grid, a.kernel, a.r_shared, a.base_size, a.partitions, a.placement, a.nodes, a.persist)
+    options = SolveOptions(strategy=a.strategy, grid=a.grid, kernel=a.kernel, r_shared=a.r_shared, base_size=a.base_size, partitions=a.partitions, placement=a.placement, nodes=a.nodes, persist=a.persist)
     builder = SparkSession.builder.appName(f"tessel-{a.problem}")
     if a.event_log:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.event_log)
