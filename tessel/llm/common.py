@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.sources.scratch import Scratch  # noqa: F401
+
 #: Rows of an Arrow batch that goes to Python; whole texts travel in it.
 BATCH_ROWS = 512
 
@@ -24,58 +23,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = _own_dir()
-    return named.rstrip("/")
-
-
-_own: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="tessel-"))
-    return _own[0]
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage: a lost executor costs a reread, not a recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        schema = df.schema
-        df.write.options(**options).parquet(self.path(name))
-        return self.load(name, schema)
-
-    def load(self, name: str, schema=None) -> DataFrame:
-        reader = self.spark.read
-        return (reader.schema(schema) if schema is not None else reader).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        if jvm is None:
-            return
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-    def close(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                self.drop()
-        except Exception:  # the session has gone; its folder went with it or stays for the cluster's cleaner
-            return
-
-
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of each text; null gives empty bytes."""
     col = batch.column(column)
