@@ -6,17 +6,19 @@ import os
 import re
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 
 #: White space other than space and line feed, as any regular-expression engine may see it.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
-DOUBLE_SPACE = re.compile("[ \n][ \n]")
+DOUBLE_SPACES = ("  ", "\n\n", " \n", "\n ")
 #: Words that the normalisers of both vocabularies change in letter case at most, and keep as one pre-token.
 WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 #: A word that begins a line or is followed by an ASCII mark; the apostrophe isn't one, as it can belong to a word.
 PARTED = re.compile(f"(\n?)({WORD})([!-&(-/:-@[-`{{-~].*)?", re.DOTALL)
+ID = attrgetter("id")
 #: A known piece is kept as the place of its ids and, in the lower bits, their number.
 COUNT_BITS = 24
 
@@ -66,13 +68,17 @@ class Encoder:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.bytes_as)
-        return [x.id for x in self.merge((self.spaces[space] + word) if space else word)]
+        return list(map(ID, self.merge((self.spaces[space] + word) if space else word)))
 
     def learn(self, keys: set[str]) -> None:
         """Adds the ids of pieces that aren't known."""
         known, parted, plain, texts = self.known, {}, {}, set()
         direct, word_of, match = self.direct, self._word, PARTED.fullmatch
+        merge, space, lower = self.merge, self.spaces[" "], self.lower
         for key in keys:
+            if direct and key.isascii() and key.isalpha():
+                plain[key] = list(map(ID, merge(space + (key.lower() if lower else key))))
+                continue
             m = match(key)
             if m is None:
                 texts.add(key)
@@ -127,7 +133,7 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.known) > self.most or self.used > self.most_ids:
             self.clear()
-        if DOUBLE_SPACE.search(text):
+        if any(x in text for x in DOUBLE_SPACES):
             keys = ["\t" + x for x in PIECES.findall(text)]
         else:
             keys = text.replace("\n", " \n").split(" ")
