@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, flat_binary, flat_lists, raw_texts
 from tessel.llm.components import components
-from tessel.llm.superminhash import band_hashes, mix, shingle_set, signatures
+from tessel.llm.superminhash import band_hashes, forget, mix, shingle_set, signatures
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -46,6 +46,7 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             found = band_hashes(table, rows)[counts > 0]
             columns = [batch.column("doc_id"), pa.array(counts), pa.array(prints[0][:, 0]), pa.array(prints[0][:, 1]), flat_lists(found.ravel(), np.where(counts > 0, bands, 0), pa.int64())]
             yield pa.record_batch(columns, names=["doc_id", "n_shingles", "fa", "fb", "bands"])
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fa long, fb long, bands array<long>")
 
@@ -55,6 +56,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(x, shingle) for x in raw_texts(batch)]
             yield pa.record_batch([batch.column("doc_id"), flat_binary(b"".join(x.tobytes() for x in sets), np.array([8 * len(x) for x in sets]))], names=["id", "set"])
+        forget()
 
     return docs.mapInArrow(run, "id long, set binary")
 

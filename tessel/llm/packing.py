@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
     scratch = scratch or Scratch(spark, "packing")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         packer, texts = Packer(size, open_windows, waste), {}
         done, sequence, piece = [], 0, 0
 
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
         key = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id))
+                ids = np.append(coder.encode(text or ""), np.uint32(end_id))
                 texts[key] = [doc_id, ids, len(ids)]
                 for window in packer.add(key, 0, len(ids)):
                     put(window, part << GROUP | sequence)
@@ -124,6 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
                 key += 1
                 if len(done) >= 2000:
                     yield batch_of()
+        coder.clear()
         for k, window in enumerate(packer.open):
             put(window, -1 - k)  # still open
         if done:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import raw_texts
-from tessel.llm.superminhash import word_hashes
+from tessel.llm.superminhash import forget, word_hashes
 
 CELL_BITS = 18
 
@@ -85,6 +85,7 @@ def summed(docs: DataFrame, count, size: int) -> np.ndarray:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             total += np.bincount(count(list(raw_texts(batch))), minlength=size)
+        forget()
         code = np.flatnonzero(total)
         yield pa.record_batch([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
 
@@ -189,6 +190,7 @@ def score_documents(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120)
             cells, counts = cells_of(list(raw_texts(batch)))
             total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=model.log_probs(cells, counts), minlength=len(counts))
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts), pa.array(total)], names=["doc_id", "n_words", "log_prob"])
+        forget()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

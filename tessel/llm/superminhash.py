@@ -37,6 +37,11 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget() -> None:
+    """For the end of a task, as its worker process lives on."""
+    _hashes.clear()
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.translate(FOLD).split()
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))

@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
         names, lens, parts, size, segment, before = [], [], [], 0, 0, 0
 
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "")
+                ids = coder.encode(text or "")
                 names.append(doc_id)
                 lens.append(len(ids) + 1)
                 parts += [ids, end]
@@ -111,6 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 if size >= segment_ids:
                     yield flush()
                     names, lens, parts, size, segment, before = [], [], [], 0, segment + 1, before + size
+        coder.clear()
         if names:
             yield flush()
 

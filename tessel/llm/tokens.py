@@ -38,10 +38,10 @@ class Encoder:
     has white space behind other characters, or a mark behind letters), so a text's ids are those of
     its pieces. Texts with other white space are encoded whole.
     Pieces are kept without the one space in front of them, others behind a tab, which no piece has.
-    The memory is emptied when it holds `most` pieces or `most_ids` ids.
+    Tasks empty it at their end, as worker processes outlive them; it is also emptied when it holds `most` pieces or `most_ids` ids.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000, most_ids: int = 12_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
