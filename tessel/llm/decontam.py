@@ -136,19 +136,20 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], length: int = LENGTH):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, set[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {x: k for k, x in enumerate(self.names)}
+        windows, owners = [np.zeros((0, length), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - length + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + length]), set()).add(number[name])
-        self.lengths = np.array([len(x) for x in found], dtype=np.int64)
-        self.table = np.zeros((len(found), length), dtype=np.int64)
-        for k, x in enumerate(found):
-            self.table[k, : len(x)] = x
-        self.item_counts = np.array([len(x) for x in found.values()], dtype=np.int64)
-        self.items = np.array([i for x in found.values() for i in sorted(x)], dtype=np.int64)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
+            if len(ids):
+                padded = np.concatenate([ids, np.zeros(max(0, length - len(ids)), dtype=np.int32)])
+                windows.append(np.lib.stride_tricks.sliding_window_view(padded, length))
+                owners.append(np.full(len(windows[-1]), number[name]))
+        self.table, which = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        self.lengths = (self.table > 0).sum(axis=1).astype(np.int64)
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners)], axis=1), axis=0)
+        self.items = pairs[:, 1]
+        self.item_counts = np.bincount(pairs[:, 0], minlength=len(self.table))
         self.item_starts = np.cumsum(self.item_counts) - self.item_counts
         self.least = int(self.lengths.min(initial=length))
 
@@ -266,7 +267,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, block_bytes: int = 16 << 20, shard_words: int = 1 << 19, shard_docs: int = 2048) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20, shard_words: int = 1 << 19, shard_docs: int = 2048) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of words), offsets (of code points, for removal) and items (sorted) of each document."""
     spark = docs.sparkSession
     texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
