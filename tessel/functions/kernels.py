@@ -43,8 +43,9 @@ def minplus(x: np.ndarray, u: np.ndarray, v: np.ndarray, how: Tiling = Tiling())
                 for j in tiles(x.shape[1], how.r):
                     minplus(x[i, j], u[i, k], v[k, j], how)
     else:
+        through = np.empty(x.shape)
         for k in range(u.shape[1]):
-            np.minimum(x, u[:, k, None] + v[None, k, :], out=x)
+            np.minimum(x, np.add(u[:, k, None], v[None, k, :], out=through), out=x)
     return x
 
 
@@ -63,8 +64,9 @@ def closure(x: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
                 for j in rest:
                     minplus(x[i, j], x[i, k], x[k, j], how)
     else:
+        through = np.empty(x.shape)
         for k in range(len(x)):
-            np.minimum(x, x[:, k, None] + x[None, k, :], out=x)
+            np.minimum(x, np.add(x[:, k, None], x[None, k, :], out=through), out=x)
     return x
 
 
