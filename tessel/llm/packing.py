@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
                 key += 1
                 if len(done) >= 2000:
                     yield batch_of()
-        coder.clear()
+        coder.forget()
         for k, window in enumerate(packer.open):
             put(window, -1 - k)  # still open
         if done:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tessel.llm.common import release_memory
+
 #: A-Z to a-z, other bytes as they are; bytes.split() then cuts at 0x20 and 0x09-0x0D.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EMPTY = np.uint32(2**32 - 1)
@@ -40,6 +42,7 @@ _hashes = WordHashes()
 def forget() -> None:
     """For the end of a task, as its worker process lives on."""
     _hashes.clear()
+    release_memory()
 
 
 def word_hashes(text: bytes) -> np.ndarray:

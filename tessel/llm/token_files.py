@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 if size >= segment_ids:
                     yield flush()
                     names, lens, parts, size, segment, before = [], [], [], 0, segment + 1, before + size
-        coder.clear()
+        coder.forget()
         if names:
             yield flush()
 
