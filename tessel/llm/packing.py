@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, flat_binary
+from tessel.llm.common import Scratch, flat_binary, release_memory
 from tessel.llm.tokens import encoder
 
 PLACED = "part long, piece long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
                 key += 1
                 if len(done) >= 2000:
                     yield batch_of()
-        coder.forget()
+        release_memory()
         for k, window in enumerate(packer.open):
             put(window, -1 - k)  # still open
         if done:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessel.llm.common import flat_binary, flat_lists, joined
+from tessel.llm.common import flat_binary, joined, release_memory
 from tessel.llm.tokens import encoder
 
 SEGMENT = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, planes string, block_ids int, index array<long>, payload binary"
@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 if size >= segment_ids:
                     yield flush()
                     names, lens, parts, size, segment, before = [], [], [], 0, segment + 1, before + size
-        coder.forget()
+        release_memory()
         if names:
             yield flush()
 

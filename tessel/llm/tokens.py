@@ -10,8 +10,6 @@ from operator import attrgetter
 
 import numpy as np
 
-from tessel.llm.common import release_memory
-
 #: White space other than space and line feed, as any regular-expression engine may see it.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
@@ -40,10 +38,10 @@ class Encoder:
     has white space behind other characters, or a mark behind letters), so a text's ids are those of
     its pieces. Texts with other white space are encoded whole.
     Pieces are kept without the one space in front of them, others behind a tab, which no piece has.
-    Tasks empty it at their end, as worker processes outlive them; it is also emptied when it holds `most` pieces or `most_ids` ids.
+    The memory is kept from task to task and emptied when it holds `most` pieces or `most_ids` ids.
     """
 
-    def __init__(self, path: str, most: int = 400_000, most_ids: int = 4_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -64,11 +62,6 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def forget(self) -> None:
-        """For the end of a task, as its worker process lives on."""
-        self.clear()
-        release_memory()
-
     def _word(self, word: str, space: str = " ") -> list[int]:
         """Ids of a plain word, with or without a space in front, by the vocabulary's merges alone."""
         if self.lower:
