@@ -18,6 +18,9 @@ from tessel.llm.packing import pack
 from tessel.llm.quality import quality_rules
 from tessel.llm.tokens import vocabulary_path
 
+#: Words of a line that is a run by itself; tests/llm/test_pipeline.py holds lines of 11 words to the rule of two lines.
+ALONE_WORDS = 12
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their host's verdict keep."""
@@ -26,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated runs of lines; those left without a word go."""
-    return line_dedup(docs)
+    return line_dedup(docs, alone_words=ALONE_WORDS)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:

@@ -8,9 +8,12 @@ in its class drops out, and rounds end when no run of that length repeats.
 
 The class of depth `least_lines` decides: each of its members but the earliest (doc_id, then place)
 begins a later copy, and the union of those is made of the maximal repeated runs. They are deleted
-if they have `least_words` words. A copy that overlaps its own original is left alone.
+if they have `least_words` words. A copy that overlaps its own original is left alone. A line of
+`alone_words` words or more is a run by itself: its class of depth 1 decides in the same way, so only
+shorter lines need a second one beside them.
 
-Defined results: null and empty texts, and texts of one line, lose nothing; rows with the same
+Defined results: null and empty texts lose nothing, nor do texts of one line shorter than
+`alone_words`; rows with the same
 doc_id and text are one document, so both lose the same lines; a null doc_id ranks last; an empty
 table gives an empty result; columns other than doc_id and text are kept as they are.
 """
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from tessel.llm.common import Scratch, raw_texts
 
 LAST = 2**63 - 1
+#: Words of a line that op10 takes for a run by itself: as many as any run must have.
+ALONE_WORDS = 10
 SUFFIX = ["doc", "version", "place"]
 
 
@@ -75,7 +80,14 @@ def doubled(level: DataFrame, by: int) -> DataFrame:
     return level.join(second, SUFFIX).select(*SUFFIX, F.xxhash64("rank", "then").alias("rank"))
 
 
-def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10, scratch: Scratch | None = None, log=None) -> DataFrame:
+def copies(found: DataFrame, length: int) -> DataFrame:
+    """Of the members of classes, those that begin a later copy of `length` lines."""
+    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.version") == F.col("version"))
+    later = found.where(~(own & (F.col("place") < F.col("first.place") + length)))
+    return later.select(*SUFFIX, F.col("first.doc").alias("first_doc"), F.lit(length).alias("length"))
+
+
+def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10, scratch: Scratch | None = None, log=None, alone_words: int | None = None) -> DataFrame:
     """doc, version, lines (numbers to delete), n_words, depth (least common prefix known for the run) and first_doc of each run."""
     scratch = scratch or Scratch(docs.sparkSession, "line-runs")
     lines = scratch.save(lines_of(docs), "lines")
@@ -96,13 +108,14 @@ def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10,
         if next_level.isEmpty():
             break
         level = next_level.drop("first")
-    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.version") == F.col("version"))
-    starts = decided.where(~(own & (F.col("place") < F.col("first.place") + least_lines)))
-    starts = starts.select(*SUFFIX, F.col("first.doc").alias("first_doc"))
-    starts = starts.join(depths.groupBy(*SUFFIX).agg(F.max("depth").alias("depth")), SUFFIX, "left")
-    hit = starts.withColumn("place", F.explode(F.sequence("place", F.col("place") + (least_lines - 1))))
+    starts = copies(decided, least_lines)
+    if alone_words is not None:
+        long = lines.where(F.col("words") >= alone_words).select(*SUFFIX, F.col("id").alias("rank")).distinct()
+        starts = starts.unionByName(copies(scratch.save(classes(long), "alone"), 1))
+    starts = starts.join(depths.groupBy(*SUFFIX).agg(F.max("depth").alias("depth")), SUFFIX, "left").withColumn("depth", F.coalesce("depth", "length"))
+    hit = starts.withColumn("place", F.explode(F.sequence("place", F.col("place") + (F.col("length") - 1))))
     hit = hit.groupBy(*SUFFIX).agg(F.min("first_doc").alias("first_doc"), F.max("depth").alias("depth"))
-    hit = hit.join(lines.distinct(), SUFFIX).groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("place", "line", "words", "first_doc", F.coalesce("depth", F.lit(least_lines)).alias("depth")))).alias("s"))
+    hit = hit.join(lines.distinct(), SUFFIX).groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("place", "line", "words", "first_doc", "depth"))).alias("s"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +133,10 @@ def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10,
     return hit.mapInArrow(runs, "doc long, version long, lines array<long>, n_words long, depth long, first_doc long")
 
 
-def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, most_broadcast: int = 2_000_000, scratch: Scratch | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, most_broadcast: int = 2_000_000, scratch: Scratch | None = None, alone_words: int | None = None) -> DataFrame:
     """`docs` with the later copies of repeated runs deleted from `text`; documents of which no word is left go."""
     scratch = scratch or Scratch(docs.sparkSession, "line-runs")
-    runs = scratch.save(repeated_runs(docs, least_lines, least_words, scratch), "runs")
+    runs = scratch.save(repeated_runs(docs, least_lines, least_words, scratch, alone_words=alone_words), "runs")
     # a bound on what is broadcast: so many line numbers in all, counted
     few = (runs.agg(F.sum(F.size("lines"))).first()[0] or 0) <= most_broadcast
     gone = runs.groupBy(F.col("doc").alias("rank_of_doc"), F.col("version").alias("text_version")).agg(F.flatten(F.collect_list("lines")).alias("deleted_lines"))

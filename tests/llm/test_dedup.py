@@ -65,6 +65,15 @@ def test_line_dedup_keeps_columns_and_other_documents(spark, most_broadcast):
         assert (doc_id not in kept) if gone and not left.strip() else kept[doc_id] == left
 
 
+def test_a_long_line_is_a_run_by_itself(spark):
+    long = " ".join(f"w{k}" for k in range(55))
+    rows = [(1, f"own one\n{long}\nown two\nshort line", "en", "s", 1), (2, f"other one\n{long}\nother two\n\nshort line", "en", "s", 1), (3, long, "en", "s", 1), (4, f"{long}\nlast", "en", "s", 1)]
+    got = {r.doc: (r.lines, r.n_words, r.depth, r.first_doc) for r in repeated_runs(table(spark, rows, True).repartition(3), alone_words=10).collect()}
+    assert got == {d: (x, 55, 1, 1) for d, x in ((2, [1]), (3, [0]), (4, [0]))}
+    left = {r.doc_id: r.text for r in line_dedup(table(spark, rows), alone_words=10).collect()}
+    assert left == {1: rows[0][1], 2: "other one\nother two\n\nshort line", 4: "last"}
+
+
 def test_runs_of_unhappy_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert repeated_runs(empty).count() == 0
