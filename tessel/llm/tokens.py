@@ -36,7 +36,7 @@ class Encoder:
     follows the letters of a word from an ASCII mark on, and a line feed in front of it, are encoded
     apart. Both vocabularies cut every text in these places before they merge anything (no pre-token
     has white space behind other characters, or a mark behind letters), so a text's ids are those of
-    its pieces. Texts with other white space are encoded whole.
+    its pieces. Texts with other white space, or with the string of an added token, are encoded whole.
     Pieces are kept without the one space in front of them, others behind a tab, which no piece has.
     The memory is kept from task to task and emptied when it holds `most` pieces or `most_ids` ids.
     """
@@ -46,7 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens are cut out of the whole text before anything else; a normaliser may change letter case before that.
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.added_mark = re.match("[!-@[-`{-~]*", os.path.commonprefix(added)).group()
         self.most, self.most_ids = most, most_ids
         #: Byte-level vocabularies write bytes as printable characters: those that print as they are, others from U+0100 on.
         shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
@@ -129,7 +132,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if OTHER_SPACE.search(text):
+        if OTHER_SPACE.search(text) or self.added_mark in text and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.known) > self.most or self.used > self.most_ids:
             self.clear()

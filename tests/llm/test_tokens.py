@@ -5,6 +5,7 @@ import pytest
 from cases import SCHEMA, awkward, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tessel.llm.common import Scratch
 from tessel.llm.packing import Packer, pack
@@ -13,6 +14,7 @@ from tessel.llm.tokens import Encoder, vocabulary_path
 
 BYTE, WORD = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("word_bpe_49k.json")
 ENCODERS = {x: Encoder(x, most=50) for x in (BYTE, WORD)}
+FRESH = {x: Tokenizer.from_file(x) for x in (BYTE, WORD)}
 crc = lambda ids: zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
 
 
@@ -27,6 +29,18 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
         assert encoder.encode(text).tolist() == whole(path, text)[:-1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDofText|>", "<|endoftext", "<|", "|>", "a", "É", " ", "\n", ".", "  "]), max_size=12))
+def test_added_tokens_are_those_of_the_plain_call(parts):
+    for path, encoder in ENCODERS.items():
+        assert encoder.encode("".join(parts)).tolist() == FRESH[path].encode("".join(parts), add_special_tokens=False).ids
+
+
+def test_the_string_of_an_added_token_is_one_id():
+    got = [ENCODERS[x].encode("a <|endoftext|> b").tolist() for x in (BYTE, WORD)]
+    assert got == [[64, 220, 50256, 275], [320, 49407, 321]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300), st.sampled_from(["byte", "bit"]), st.integers(1, 40), st.integers(0, 300), st.integers(0, 300))
 def test_planes_round_trip(ids, planes, block, a, b):
