@@ -1,8 +1,11 @@
 """Removal of passages that stand in an earlier document, by hashing lines cut into sentences.
 
 A unit is a line, cut behind sentence marks and in front of capitals, so that a passage pasted into
-the middle of a line falls into the same units wherever it stands. Units are compared without
-letter case, white space and closing marks. Short units say little, so what is hashed is the least
+the middle of a line falls into the same units wherever it stands. Units of more than `WINDOW` words
+are cut again in front of words chosen by their hash: the least of each `WINDOW` words in a row. The
+choice depends on these words alone, so a passage without any mark is cut alike in every text but
+for less than `WINDOW` words at either end; long stretches without a space are cut so by characters.
+Units are compared without letter case, white space and closing marks. Short units say little, so what is hashed is the least
 run of consecutive units that weighs `least_words`, from each unit forwards and, for short units,
 backwards. Digests (128 bits) are grouped over all documents; the occurrence of lowest rank
 (doc_id, then offset) stays, and every other is a span of its document, merged with its neighbours.
@@ -15,6 +18,9 @@ doc_id rank by offset as one document; a null doc_id ranks last; an empty table
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +31,83 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch
 
-UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-UNIT = re.compile(rf"\S(?:[^\n.!? \t]++|[.!?]++(?!\s|$)|[ \t]++(?![{UPPER}\n]))*+[.!?]*+")
+_capitals = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Lu", "Lt")]
+#: All capitals and title-case letters, and line feeds; those above U+FFFF apart, as a class that holds them is slow.
+UPPER = "[{}\n]|(?=[\U00010000-\U0010ffff])[{}]".format(*("".join(c for c in _capitals if (c > "\uffff") == x) for x in (False, True)))
+#: Sentence marks of other scripts, which end a unit whatever follows.
+MARKS = "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8\u1aa9\u1aaa\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u2026\u203c\u203d\u2047\u2048\u2049\u2e2e\u2e3c\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+END = f".!?{MARKS}"
+UNIT = re.compile(rf"\S(?:[^\n.!? \t]++|[.!?]++(?!\s|$)|[ \t]++(?!{UPPER}))*+[.!?]*+")
+#: The same for texts that hold other marks; it is slower.
+MARKED_UNIT = re.compile(rf"(?:[{MARKS}]|[^\s{MARKS}](?:[^\n{END} \t]++|[.!?]++(?!\s|$|[{MARKS}])|[ \t]++(?!{UPPER}))*+)[{END}]*+")
+OTHER_MARKS = frozenset(MARKS)
+WORD = re.compile(r"\S+")
+#: Of so many words in a row, or characters of a word longer than that, one begins a unit.
+WINDOW, CHARACTERS = 12, 48
+#: Marks behind a unit that say nothing.
+CLOSING = f"{END},;: \t"
 LAST = 2**63 - 1
 
 
+class WordHashes(dict):
+    """Hashes of words without case and closing marks; emptied when it holds too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = zlib.crc32(word.rstrip(CLOSING).encode("utf-8", "surrogatepass"))
+        return found
+
+
+_hashes = WordHashes()
+
+
+def chosen(hashes: list[int], window: int) -> list[int]:
+    """Places of the least of each `window` hashes in a row, the last of equal ones."""
+    out, at, least = [], -1, 0
+    for k, new in enumerate(hashes[window - 1 :]):
+        if at < k:
+            here = hashes[k : k + window]
+            least = min(here)
+            at = k + window - 1 - here[::-1].index(least)
+        elif new <= least:
+            at, least = k + window - 1, new
+        else:
+            continue
+        out.append(at)
+    return out
+
+
+def parts_of(unit: str) -> list[tuple[int, int, list[str]]]:
+    """Start, end and words of the parts that a unit is cut into, none of them long."""
+    words = unit.lower().split()
+    long = len(unit) > CHARACTERS and max(map(len, words)) > CHARACTERS
+    if len(words) <= WINDOW and not long:
+        return [(0, len(unit), words)]
+    spans = [m.span() for m in WORD.finditer(unit)]
+    begin = [k for k in chosen(list(map(_hashes.__getitem__, words)), WINDOW) if k]
+    if not long:
+        cuts = [0, *begin, len(words)]
+        return [(spans[a][0], spans[b - 1][1] if b < len(words) else len(unit), words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    places = {spans[k][0] for k in begin}
+    for a, b in spans:
+        if b - a > CHARACTERS:
+            grams = [zlib.crc32(unit[k : k + 4].lower().encode("utf-8", "surrogatepass")) for k in range(a, b - 3)]
+            places.update(a + k for k in chosen(grams, CHARACTERS - 3))
+    cuts = [0, *sorted(places - {0}), len(unit)]
+    return [(a, a + len(unit[a:b].rstrip()), unit[a:b].lower().split()) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def keys_of(text: str, least_words: int) -> tuple[list[bytes], list[int], list[int]]:
     """Digest, start and end of each run of units that weighs enough."""
     starts, ends, norms, weights = [], [], [], []
-    for m in UNIT.finditer(text):
-        words = m.group().lower().rstrip(".!?,;: \t").split()
-        starts.append(m.start())
-        ends.append(m.end())
-        norms.append(" ".join(words))
-        weights.append(max(len(words), (m.end() - m.start()) // 12))  # scripts without spaces
+    unit = UNIT if text.isascii() or OTHER_MARKS.isdisjoint(text) else MARKED_UNIT
+    for m in unit.finditer(text):
+        for start, end, words in parts_of(m.group()):
+            starts.append(m.start() + start)
+            ends.append(m.start() + end)
+            norms.append(norm := " ".join(words).rstrip(CLOSING))
+            weights.append(max(norm.count(" ") + (norm != ""), (end - start) // 12))  # scripts without spaces
     runs, n, low, high, weight = set(), len(starts), 0, 0, 0
     for k in range(n):  # from each unit forwards
         if high < k:
@@ -94,8 +163,12 @@ def repeated_spans(docs: DataFrame, least_words: int = 8, scratch: Scratch | Non
     """doc_id, start, end and first_doc_id (the least document that has its beginning) of each span to remove."""
     scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
     keys = scratch.save(keyed(docs, least_words), "keys")
-    firsts = keys.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = keys.join(firsts, ["a", "b"]).where(F.col("again") | (F.col("first") < F.col("doc_id")))
+    # half of a digest tells most of the single ones, so that little is shuffled for them
+    often = keys.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    again = scratch.save(keys.join(often, "a", "left_semi"), "again")
+    scratch.drop("keys")
+    firsts = again.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = again.join(firsts, ["a", "b"]).where(F.col("again") | (F.col("first") < F.col("doc_id")))
     spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,34 @@ def test_pasted_passages_go_whole_and_the_rest_stays(spark):
     assert not [d for d in got if 30 <= d < 40]
 
 
+def covered(rows, passage, doc_id):
+    text = next(r[1] for r in rows if r[0] == doc_id)
+    at = text.index(passage)
+    return sum(max(0, min(b, at + len(passage)) - max(a, at)) for a, b in brute_spans(rows, 8).get(doc_id, ())) / len(passage)
+
+
+def test_most_of_a_passage_without_breaks_goes_wherever_it_stands():
+    plain = lambda seed, n: prose(seed, n).replace(".", "").replace("\n", " ")
+    for k in range(40):
+        passage = plain(5000 + k, 50)
+        rows = [(x, f"{plain(6000 + 9 * k + x, 20 + x)} {passage} {plain(7000 + 9 * k + x, 25 - x)}", "en", "s", 1) for x in range(3)]
+        assert 0 not in brute_spans(rows, 8)
+        assert all(covered(rows, passage, x) > 0.5 for x in (1, 2))
+
+
+def test_most_of_a_passage_without_spaces_goes():
+    rng = random.Random(3)
+    script = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = script(300)
+    rows = [(x, script(70 + x) + passage + script(60), "zh", "s", 1) for x in range(2)]
+    assert covered(rows, passage, 1) > 0.5
+
+
+def test_units_end_at_marks_and_begin_at_capitals_of_all_scripts():
+    cut = lambda text: [text[a:b] for a, b in zip(*keys_of(text, 1)[1:], strict=True)]
+    assert cut("ena dva Šest tri。四五六！sedm") == ["ena dva", "Šest tri。", "四五六！", "sedm"]
+
+
 def test_spans_of_unhappy_tables(spark):
     assert repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, prose(1, 40), None, None, None), (None, prose(1, 40), None, None, None)]
