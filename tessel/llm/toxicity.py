@@ -1,10 +1,11 @@
 """Toxicity of documents: a noisy-channel decoder restores disguised words, then a linear model scores.
 
 1. A character language model (trigrams of 64 classes of lower-case characters) is counted over all texts.
-2. Units that look disguised - digits or signs among letters, letters set apart, letters repeated -
-   become lattices: a sign may stand for a letter or for itself, a separator may be nothing, a run
-   may be one or two letters. Viterbi decoding under the language model picks the restored text.
-   Units without such characters have one path through the lattice, themselves, and aren't decoded.
+2. Units that look disguised - digits, signs or separators among letters, letters or signs set apart,
+   letters doubled or repeated - become lattices: a sign may stand for a letter or for itself, a run
+   of separators may be nothing, a run may be one or two letters. Viterbi decoding under the language
+   model picks the restored text. Other units have one path through the lattice, themselves, and
+   aren't decoded; nor, for scoring, are words with doubled letters of which no reading has a feature.
 3. Words of the restored text, and their beginnings, are features of a logistic model. It is fitted
    on labelled rows: of them, at most about `most_train` chosen by a hash of doc_id, and of the
    features the `most_features` that tell most. Nothing else is sampled or bounded.
@@ -37,9 +38,13 @@ AS_LETTER, AS_ITSELF, APART, RUN_ONE, RUN_TWO = -1.5, -4.0, -0.5, -0.7, -1.4
 
 _letters = r"[^\W\d_]"
 WORDS = re.compile(f"{_letters}+")
-SPACED = re.compile(rf"(?<![^\W_])(?:{_letters}([ .\-_*·]))(?:{_letters}\1)+{_letters}(?![^\W_])")
-DISGUISED = re.compile(rf"\S*(?:{_letters}[0-9@$!|+(€£]|[0-9@$|+(€£]{_letters})\S*|[^\W_]*({_letters})\1\1[^\W_]*")
-REPEATED = re.compile(r"(.)\1\1")
+_signs = "@$!|+(€£"
+_one, _apart = rf"(?:[^\W_]|[{_signs}])", rf"(?:[^\w{_signs}]|_)+"
+SPACED = re.compile(rf"(?<![^\W_]){_one}(?:{_apart}{_one}){{2,}}(?![^\W_])")
+BROKEN = re.compile(rf"(?:{_letters}{_apart}{_one}|{_one}{_apart}{_letters})")
+DISGUISED = re.compile(rf"\S*(?:{_letters}[0-9@$!|+(€£]|[0-9@$|+(€£]{_letters})\S*|[^\W_]*({_letters})\1[^\W_]*")
+REPEATED = re.compile(r"(.)\1")
+RUNS = re.compile(r"(.)\1+")
 TAIL = re.compile(r"[!.,;:?\"')*#%&]+$|\${3,}\W*$")
 
 
@@ -97,6 +102,10 @@ def language_model(counts: np.ndarray, weights: tuple[float, float, float] = (0.
     return np.log(weights[0] * p3 + weights[1] * p2[None] + weights[2] * (one / one.sum())[None, None]).astype(np.float32)
 
 
+def separates(ch: str) -> bool:
+    return not ch.isalnum() and ch not in STANDS_FOR
+
+
 def lattice(unit: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
     """For each place of a unit: where an edge leads, what it writes, and its log-probability."""
     edges: list[list[tuple[int, str, float]]] = []
@@ -112,10 +121,13 @@ def lattice(unit: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
                     here = [(end, ch * 2, RUN_TWO)]
                 here.append((end, ch, RUN_ONE))
         else:
-            if spaced:
-                here += [(k + 1, "", APART), (k + 1, " ", 2 * APART)]
-            here += [(k + 1, x, AS_LETTER) for x in STANDS_FOR.get(ch, "")]
-            if not spaced:
+            if spaced and separates(ch):
+                end = k + 1
+                while end < len(unit) and separates(unit[end]):
+                    end += 1
+                here += [(end, "", APART), (end, " ", 2 * APART)]
+            else:
+                here += [(k + 1, x, AS_LETTER) for x in STANDS_FOR.get(ch, "")]
                 here.append((k + 1, ch, AS_ITSELF))
         edges.append(here)
     return edges
@@ -124,8 +136,8 @@ def lattice(unit: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
 class Decoder:
     """Viterbi over states of place and the last two classes written."""
 
-    def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray, most: int = 200_000, wanted=None):
+        self.model, self.most, self.known, self.wanted = model, most, {}, wanted
 
     def decode(self, unit: str, spaced: bool) -> str:
         model, edges = self.model, lattice(unit, spaced)
@@ -156,6 +168,7 @@ class Decoder:
                 self.known.clear()
             spaced = SPACED.fullmatch(unit) is not None
             core = unit if spaced else TAIL.sub("", unit)
+            spaced = spaced or BROKEN.search(core) is not None
             found = self.known[unit] = WORDS.findall(self.decode(core, spaced)) if core else []
         return found
 
@@ -164,12 +177,13 @@ class Decoder:
         if token.isalpha() and not REPEATED.search(token):
             return [token]
         words = WORDS.findall(token)
-        for m in DISGUISED.finditer(token):
-            words += self.restored(m.group())
+        for unit in [token] if BROKEN.search(TAIL.sub("", token)) else [m.group() for m in DISGUISED.finditer(token)]:
+            if self.wanted is None or not unit.isalpha() or self.wanted(unit):
+                words += self.restored(unit)
         return words
 
     def of_spaced(self, text: str) -> list[str]:
-        return [w for m in SPACED.finditer(text) for w in self.restored(m.group())]
+        return [w for m in SPACED.finditer(text) if WORDS.search(m.group()) for w in self.restored(m.group())]
 
     def words(self, text: str) -> set[str]:
         """Words of a text in lower case, with those that disguised units stand for."""
@@ -181,11 +195,22 @@ def features_of(word: str) -> list[str]:
     return [word] + [f"{word[:k]}-" for k in (4, 5) if len(word) > k]
 
 
+def single(word: str) -> str:
+    """A word with one letter for each run."""
+    return RUNS.sub(r"\1", word)
+
+
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], bias: float, most: int = 1_000_000):
-        self.decoder, self.weights, self.bias, self.most = Decoder(model), weights, bias, most
+        self.decoder, self.weights, self.bias, self.most = Decoder(model, wanted=self.may_have), weights, bias, most
+        self.single = {single(x) for x in weights}
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def may_have(self, word: str) -> bool:
+        """Whether any reading of a word's runs can have a feature: all readings are alike with single letters."""
+        bare, known = single(word), self.single
+        return bare in known or any(f"{bare[:k]}-" in known for k in range(1, 6))
+
     def picked(self, words: list[str]) -> tuple[str, ...]:
         weights = self.weights
         return tuple(x for w in words for x in features_of(w) if x in weights)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from cases import SCHEMA, awkward, table
 
-from tessel.llm.toxicity import CLASSES, Decoder, classes_of, language_model, lattice, toxicity, trigram_counts
+from tessel.llm.toxicity import CLASSES, Decoder, Scorer, classes_of, language_model, lattice, toxicity, trigram_counts
 
 BAD = "idiot loser stupid pathetic worthless".split()
 GOOD = "meadow river garden window paper stone water winter candle forest".split()
@@ -36,6 +36,21 @@ def test_disguised_words_are_restored(model, text):
     assert set(BAD) & Decoder(model).words(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["1 d 1 0 t", "s t u p 1 d", "i d i 0 t", "i/d/i/o/t", "i  d  i  o  t", "i\u00a0d\u00a0i\u00a0o\u00a0t", "i - d - i - o - t", "i.d-i_o*t", "st-up-id", "stu.pid", "lo_ser", "st-up-1d.", "iiddiioott", "ssttuuppiidd", "iddiot", "l0sser"],
+)
+def test_mixed_disguises_are_restored(model, text):
+    assert set(BAD) & Decoder(model).words(text)
+    weights = dict.fromkeys(BAD, 1.0)
+    assert set(BAD) & Scorer(model, weights, 0.0).features(f"meadow {text} river")
+
+
+@pytest.mark.parametrize(("unit", "spaced"), [("1 d 1 0 t", True), ("st--up-1d", True), ("iiddot", False)])
+def test_viterbi_finds_the_best_path_of_mixed_disguises(model, unit, spaced):
+    assert Decoder(model).decode(unit, spaced) == best_path(model, unit, spaced)
+
+
 def test_plain_words_stay(model):
     assert Decoder(model).words("Meadow rivers, 3 windows\nand a1 papers I a b") >= {"meadow", "rivers", "windows", "papers"}
     assert not set(BAD) & Decoder(model).words("river 1000 22 f00 a b c wateeer")
