@@ -1,21 +1,29 @@
-"""Line dedup: repeated runs of lines from a suffix order over line ids, built by distributed prefix doubling.
-
-Lines that hold a word get an id (a 64-bit hash of the line without outer white space). Suffixes
-are the lines of each document from some line on. In round k the suffixes whose first 2^k lines
-occur more than once are ranked: a rank class is an LCP interval of depth 2^k or more. A suffix
-goes into the next round with the ranks of its first and its second 2^k lines, so one that is alone
-in its class drops out, and rounds end when no run of that length repeats.
-
-The class of depth `least_lines` decides: each of its members but the earliest (doc_id, then place)
-begins a later copy, and the union of those is made of the maximal repeated runs. They are deleted
-if they have `least_words` words. A copy that overlaps its own original is left alone. A line of
-`alone_words` words or more is a run by itself: its class of depth 1 decides in the same way, so only
-shorter lines need a second one beside them.
-
-Defined results: null and empty texts lose nothing, nor do texts of one line shorter than
-`alone_words`; rows with the same
-doc_id and text are one document, so both lose the same lines; a null doc_id ranks last; an empty
-table gives an empty result; columns other than doc_id and text are kept as they are.
+"""Line dedup: maximal repeated runs of lines, from the LCP intervals of a suffix order over line ids.
+
+Lines that hold a word get an id (a 64-bit hash of the line without outer white space); suffixes are
+the lines of a document from some line on.
+
+1. Prefix doubling: in round k the suffixes whose first 2^k lines occur more than once are ranked, by
+   the ranks of their first and their second 2^(k-1) lines. A suffix that is alone in its class drops
+   out, and rounds end when no run of that length repeats.
+2. A class of round k holds LCP intervals of depths from 2^k to 2^(k+1) - 1. They are parted by going
+   back through the rounds: in round j the members of an interval that agree in 2^j lines more become
+   an interval of their own, and only their first (by doc_id, then place) stays behind to stand for
+   them. In the end every suffix but the first of all lies in exactly one interval without being its
+   first: the depth of that interval is the longest prefix that it shares with any earlier suffix.
+3. That prefix is a repeated run, and the interval's first is its earliest copy. A run that another
+   run of the document holds is left out, so those left are maximal. A run of `least_lines` lines or
+   more is deleted if it has `least_words` words; a shorter one if it has `alone_words`, if that is given.
+   Runs are never joined to reach a limit. A run that overlaps its own earlier copy ends where it begins.
+
+Each deleted line has an earlier equal line, so the first copy of everything stays. Nothing grows
+with the length of a run but the number of rounds (its logarithm); lines that never repeat are left
+behind in the first one. Classes are aggregated before they are joined with their members, from
+tables, so the rows of a class that very many documents share can be split over tasks.
+
+Defined results: null and empty texts lose nothing; rows with the same doc_id and text are one
+document, so both lose the same lines; a null doc_id ranks last; words are parted by ASCII white
+space; an empty table gives an empty result; columns other than doc_id and text are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,15 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, raw_texts
+from tessel.llm.common import Scratch, raw_texts, release_memory
 
 LAST = 2**63 - 1
 #: Words of a line that op10 takes for a run by itself: as many as any run must have.
 ALONE_WORDS = 10
 SUFFIX = ["doc", "version", "place"]
+FIRST = ["first_doc", "first_version", "first_place"]
+RUNS = "doc long, version long, lines array<long>, n_words long, first_doc long"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,88 +59,131 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         places.append(n)
                         numbers.append(k)
                         ids.append(xxhash.xxh64_intdigest(line))
-                        words.append(line.count(b" ") + 1)
+                        words.append(len(line.split()))
                         n += 1
                 counts.append(n)
             which = pa.array(np.repeat(np.arange(len(counts)), counts))
             columns = [batch.column("doc").take(which), batch.column("version").take(which), pa.array(places, type=pa.int64()), pa.array(numbers, type=pa.int64()), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(words, type=pa.int64())]
             yield pa.record_batch(columns, names=["doc", "version", "place", "line", "id", "words"])
+        release_memory()
 
     rows = docs.select(doc_rank(), version(), "text")
     return rows.mapInArrow(run, "doc long, version long, place long, line long, id long, words long")
 
 
-def doc_rank():
+def doc_rank() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
 
 
-def version():
+def version() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("version")
 
 
-def classes(suffixes: DataFrame) -> DataFrame:
-    """Of suffixes with a rank, those that share it with others, and the first of them."""
-    found = suffixes.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct(*SUFFIX)).alias("first")).where("n > 1").select("rank", "first")
-    return suffixes.join(found, "rank")
+def is_first() -> Column:
+    """Whether a suffix is the first of its class or interval."""
+    return (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("place") == F.col("first_place"))
 
 
-def doubled(level: DataFrame, by: int) -> DataFrame:
-    """Suffixes of a level with the rank of twice its length (or less, if `by` is less)."""
-    second = level.select("doc", "version", (F.col("place") - by).alias("place"), F.col("rank").alias("then"))
-    return level.join(second, SUFFIX).select(*SUFFIX, F.xxhash64("rank", "then").alias("rank"))
+def with_first(suffixes: DataFrame, by: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Suffixes saved, and for each class of two or more its first."""
+    suffixes = scratch.save(suffixes, f"{name}-members")
+    found = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct(*SUFFIX)).alias("low")).where("n > 1")
+    return suffixes, scratch.save(found.select(*by, *(F.col(f"low.{x}").alias(y) for x, y in zip(SUFFIX, FIRST, strict=True))), f"{name}-first")
 
 
-def copies(found: DataFrame, length: int) -> DataFrame:
-    """Of the members of classes, those that begin a later copy of `length` lines."""
-    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.version") == F.col("version"))
-    later = found.where(~(own & (F.col("place") < F.col("first.place") + length)))
-    return later.select(*SUFFIX, F.col("first.doc").alias("first_doc"), F.lit(length).alias("length"))
+def classes(suffixes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of suffixes with a rank, those that share it with others, with the first of them."""
+    suffixes, found = with_first(suffixes, ["rank"], scratch, name)
+    out = scratch.save(suffixes.join(found, "rank"), name)
+    scratch.drop(f"{name}-members")
+    scratch.drop(f"{name}-first")
+    return out
+
+
+def doubled(level: DataFrame, by: int) -> DataFrame:
+    """Suffixes of a level with the rank of twice its length."""
+    second = level.select("doc", "version", (F.col("place") - by).alias("place"), F.col("rank").alias("then"))
+    return level.select(*SUFFIX, "rank").join(second, SUFFIX).select(*SUFFIX, F.xxhash64("rank", "then").alias("rank"))
+
+
+def parted(members: DataFrame, level: DataFrame, by: int, scratch: Scratch, name: str) -> DataFrame:
+    """Members of intervals after one step back: those that agree in `by` lines more get an interval of their own."""
+    then = level.select("doc", "version", F.col("place").alias("at"), F.col("rank").alias("then"))
+    longer = members.withColumn("at", F.col("place") + F.col("length")).join(then, ["doc", "version", "at"], "left").drop("at")
+    longer, found = with_first(longer.withColumnsRenamed({x: f"of_{x}" for x in FIRST}), ["node", "then"], scratch, name)
+    both = longer.join(found, ["node", "then"], "left")
+    stays = F.struct("node", "length", *(F.col(f"of_{x}").alias(x) for x in FIRST))
+    goes = F.struct(F.xxhash64("node", "then", F.lit(by)).alias("node"), (F.col("length") + by).alias("length"), *FIRST)
+    to = F.when(F.col("first_doc").isNull() | F.col("then").isNull(), F.array(stays)).when(is_first(), F.array(stays, goes)).otherwise(F.array(goes))
+    out = scratch.save(both.select(*SUFFIX, F.explode(to).alias("to")).select(*SUFFIX, "to.*"), name)
+    scratch.drop(f"{name}-members")
+    scratch.drop(f"{name}-first")
+    return out
+
+
+def longest_copies(lines: DataFrame, scratch: Scratch, log=None) -> DataFrame:
+    """The suffixes that share a line or more with an earlier one: the length of the longest such prefix, and the first suffix that has it.
+
+    lines: SUFFIX and rank, a row for each suffix.
+    """
+    levels = [classes(lines, scratch, "level1")]
+    while not levels[-1].isEmpty():
+        by = 1 << (len(levels) - 1)
+        if log:
+            log("length", by, levels[-1].count())
+        levels.append(classes(doubled(levels[-1], by), scratch, f"level{2 * by}"))
+    levels.pop()
+    if not levels:
+        return lines.select(*SUFFIX, F.lit(1).alias("length"), *(F.col(x).alias(y) for x, y in zip(SUFFIX, FIRST, strict=True))).limit(0)
+    tops = None
+    for k, level in enumerate(levels):
+        later = level.where(~is_first()).select(*SUFFIX, F.struct(F.lit(k).alias("k"), "rank", *FIRST).alias("top"))
+        tops = later if tops is None else tops.unionByName(later)
+    tops = scratch.save(tops.groupBy(*SUFFIX).agg(F.max("top").alias("top")).select(*SUFFIX, "top.*"), "tops")
+    members = None
+    for k in range(len(levels) - 1, 0, -1):
+        own = tops.where(F.col("k") == k).select(*SUFFIX, F.xxhash64(F.lit(k), "rank").alias("node"), F.lit(1 << k).alias("length"), *FIRST)
+        firsts = own.select("node", "length", *FIRST).distinct().select(*(F.col(y).alias(x) for x, y in zip(SUFFIX, FIRST, strict=True)), "node", "length", *FIRST)
+        own = own.unionByName(firsts)
+        members = parted(own if members is None else members.unionByName(own), levels[k - 1], 1 << (k - 1), scratch, f"parted{k}")
+    out = tops.where("k = 0").select(*SUFFIX, F.lit(1).alias("length"), *FIRST)
+    return out if members is None else out.unionByName(members.where(~is_first()).select(*SUFFIX, "length", *FIRST))
 
 
 def repeated_runs(docs: DataFrame, least_lines: int = 2, least_words: int = 10, scratch: Scratch | None = None, log=None, alone_words: int | None = None) -> DataFrame:
-    """doc, version, lines (numbers to delete), n_words, depth (least common prefix known for the run) and first_doc of each run."""
+    """doc, version, lines (numbers to delete), n_words and first_doc of each maximal repeated run that had an earlier copy."""
     scratch = scratch or Scratch(docs.sparkSession, "line-runs")
     lines = scratch.save(lines_of(docs), "lines")
-    one = lines.select(*SUFFIX, F.col("id").alias("rank")).distinct()
-    level = scratch.save(classes(one).drop("first"), "level1")
-    length, decided, depths = 1, None, None
-    if least_lines == 1:
-        decided = scratch.save(classes(one), "decided")
-    while True:
-        if decided is None and length < least_lines <= 2 * length:  # two classes that overlap make one of any length between
-            decided = scratch.save(classes(scratch.save(doubled(level, least_lines - length), "pairs")), "decided")
-        next_level = scratch.save(classes(scratch.save(doubled(level, length), f"pairs{2 * length}")), f"level{2 * length}")
-        length *= 2
-        if log:
-            log("length", length, next_level.count())
-        deep = next_level.select(*SUFFIX, F.lit(length).alias("depth"))
-        depths = deep if depths is None else depths.unionByName(deep)
-        if next_level.isEmpty():
-            break
-        level = next_level.drop("first")
-    starts = copies(decided, least_lines)
-    if alone_words is not None:
-        long = lines.where(F.col("words") >= alone_words).select(*SUFFIX, F.col("id").alias("rank")).distinct()
-        starts = starts.unionByName(copies(scratch.save(classes(long), "alone"), 1))
-    starts = starts.join(depths.groupBy(*SUFFIX).agg(F.max("depth").alias("depth")), SUFFIX, "left").withColumn("depth", F.coalesce("depth", "length"))
-    hit = starts.withColumn("place", F.explode(F.sequence("place", F.col("place") + (F.col("length") - 1))))
-    hit = hit.groupBy(*SUFFIX).agg(F.min("first_doc").alias("first_doc"), F.max("depth").alias("depth"))
-    hit = hit.join(lines.distinct(), SUFFIX).groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("place", "line", "words", "first_doc", "depth"))).alias("s"))
+    # a line that occurs once begins no repeated run and lies in none
+    often = scratch.save(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "often")
+    again = scratch.save(lines.join(often, "id", "left_semi").distinct(), "again")
+    found = longest_copies(again.select(*SUFFIX, F.col("id").alias("rank")), scratch, log)
+    own = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version"))
+    found = found.withColumn("length", F.when(own, F.least("length", F.col("place") - F.col("first_place"))).otherwise(F.col("length")))
+    listed = found.join(again.select(*SUFFIX, "line", "words"), SUFFIX).groupBy("doc", "version")
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct("place", "line", "words", "length", "first_doc"))).alias("s"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                run: list[dict] = []
-                for x in [*row["s"], {"place": None}]:
-                    if run and x["place"] != run[-1]["place"] + 1:
-                        if (n := sum(y["words"] for y in run)) >= least_words:
-                            out.append({"doc": row["doc"], "version": row["version"], "lines": [y["line"] for y in run], "n_words": n, "depth": max(y["depth"] for y in run), "first_doc": run[0]["first_doc"]})
-                        run = []
-                    run.append(x)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("lines", pa.list_(pa.int64())), ("n_words", pa.int64()), ("depth", pa.int64()), ("first_doc", pa.int64())]))
-
-    return hit.mapInArrow(runs, "doc long, version long, lines array<long>, n_words long, depth long, first_doc long")
+            out: list[tuple] = []
+            for doc, text_version, s in zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(), batch.column("s"), strict=True):
+                place, line, words, length, first = (s.values.field(k).to_numpy() for k in range(5))
+                before = np.concatenate([[0], np.cumsum(words)])
+                # every line of a run has an earlier copy, so the run's rows follow one another
+                at = np.arange(len(place))
+                n_words = before[at + length] - before[at]
+                enough = np.where(length >= least_lines, n_words >= least_words, (n_words >= alone_words) if alone_words is not None else False)
+                reach = -1
+                for k in np.flatnonzero(enough).tolist():
+                    if place[k] + length[k] > reach:
+                        reach = place[k] + length[k]
+                        out.append((doc, text_version, line[k : k + length[k]].tolist(), int(n_words[k]), int(first[k])))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names=["doc", "version", "lines", "n_words", "first_doc"])
+        release_memory()
+
+    return listed.mapInArrow(runs, RUNS)
 
 
 def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, most_broadcast: int = 2_000_000, scratch: Scratch | None = None, alone_words: int | None = None) -> DataFrame:
@@ -139,7 +192,7 @@ def line_dedup(docs: DataFrame, least_lines: int = 2, least_words: int = 10, mos
     runs = scratch.save(repeated_runs(docs, least_lines, least_words, scratch, alone_words=alone_words), "runs")
     # a bound on what is broadcast: so many line numbers in all, counted
     few = (runs.agg(F.sum(F.size("lines"))).first()[0] or 0) <= most_broadcast
-    gone = runs.groupBy(F.col("doc").alias("rank_of_doc"), F.col("version").alias("text_version")).agg(F.flatten(F.collect_list("lines")).alias("deleted_lines"))
+    gone = runs.groupBy(F.col("doc").alias("rank_of_doc"), F.col("version").alias("text_version")).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("deleted_lines"))
     row = docs.select(F.struct(*docs.columns).alias("row"), doc_rank().alias("rank_of_doc"), version().alias("text_version"))
     both = row.join(F.broadcast(gone) if few else gone.hint("merge"), ["rank_of_doc", "text_version"], "left")
     left = F.filter(F.split("row.text", "\n"), lambda x, k: ~F.array_contains("deleted_lines", k))

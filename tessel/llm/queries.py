@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import Scratch, documents
 from tessel.llm.decontam import find_contamination
 from tessel.llm.licenses import scan_licenses
-from tessel.llm.line_runs import ALONE_WORDS, repeated_runs
+from tessel.llm.line_runs import ALONE_WORDS, LAST, repeated_runs
 from tessel.llm.near_dup import near_duplicates
 from tessel.llm.oracle import SQL  # noqa: F401
 from tessel.llm.packing import pack
@@ -67,7 +67,8 @@ def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each run of lines to delete."""
     runs = repeated_runs(documents(spark, sf_dir, "doc_id", "text"), alone_words=ALONE_WORDS)
-    return runs.select(F.col("doc").alias("doc_id"), F.col("lines")[0].alias("first_line"), F.size("lines").cast("long").alias("n_lines"), "n_words", "depth", F.col("first_doc").alias("first_doc_id"))
+    real = lambda x: F.nullif(F.col(x), F.lit(LAST))
+    return runs.select(real("doc").alias("doc_id"), F.col("lines")[0].alias("first_line"), F.size("lines").cast("long").alias("n_lines"), "n_words", real("first_doc").alias("first_doc_id"))
 
 
 QUERIES = {

@@ -7,30 +7,41 @@ from tessel.llm.line_runs import line_dedup, repeated_runs
 from tessel.llm.unit_dedup import keys_of, repeated_spans, without
 
 
-def brute_runs(rows, least_lines, least_words):
-    """Deleted line numbers of each document, from all windows of lines in rank order."""
-    docs = {}
-    for doc_id, text, *_ in rows:
-        docs[doc_id] = [(k, x.strip()) for k, x in enumerate((text or "").encode().split(b"\n")) if x.strip()]
-    first, hit = {}, {d: set() for d in docs}
-    for d in sorted(docs):
-        for k in range(len(docs[d]) - least_lines + 1):
-            window = tuple(x for _, x in docs[d][k : k + least_lines])
-            e, at = first.setdefault(window, (d, k))
-            if (e, at) != (d, k) and not (e == d and k < at + least_lines):
-                hit[d].update(range(k, k + least_lines))
-    out = {}
-    for d, places in hit.items():
-        run = []
-        for p in [*sorted(places), None]:
-            if run and (p is None or p != run[-1] + 1):
-                if sum(docs[d][q][1].count(b" ") + 1 for q in run) >= least_words:
-                    out.setdefault(d, []).extend(docs[d][q][0] for q in run)
-                run = []
-            run.append(p)
+def longest_earlier(ids, rank):
+    """For each place of the document of that rank: the longest run of lines that also begins earlier, and the earliest place where it does."""
+    own, out = ids[rank], []
+    for p in range(len(own)):
+        best = (0, None, None)
+        for d in range(rank + 1):
+            for q in range(p if d == rank else len(ids[d])):
+                n = 0
+                while p + n < len(own) and q + n < len(ids[d]) and own[p + n] == ids[d][q + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, q)
+        n, d, q = best
+        out.append((min(n, p - q) if d == rank else n, d))
     return out
 
 
+def brute_runs(rows, least_lines, least_words, alone_words=None):
+    """Runs to delete of each document: numbers of lines, words and first document, from the definition of a maximal repeated run."""
+    docs = sorted({(d, text or "") for d, text, *_ in rows})
+    lines = [[(k, x.strip()) for k, x in enumerate(text.encode().split(b"\n")) if x.strip()] for _, text in docs]
+    ids, out = [[x for _, x in own] for own in lines], {}
+    for rank, own in enumerate(lines):
+        found = [(p, n, sum(len(x.split()) for _, x in own[p : p + n]), d) for p, (n, d) in enumerate(longest_earlier(ids, rank)) if n]
+        found = [x for x in found if x[2] >= least_words and x[1] >= least_lines or alone_words is not None and x[1] < least_lines and x[2] >= alone_words]
+        for p, n, words, d in found:
+            if not any(q < p and p + n <= q + m for q, m, *_ in found):
+                out.setdefault(docs[rank][0], []).append(([k for k, _ in own[p : p + n]], words, docs[d][0]))
+    return out
+
+
+def brute_gone(rows, *limits):
+    return {d: {k for run, *_ in runs for k in run} for d, runs in brute_runs(rows, *limits).items()}
+
+
 def lined(seed=5):
     rng, rows = random.Random(seed), awkward()
     pool = [f"line {k} of the common pool" for k in range(12)] + ["", "  ", "x"]
@@ -40,27 +51,50 @@ def lined(seed=5):
     return rows
 
 
-@pytest.mark.parametrize(("least_lines", "least_words"), [(1, 0), (2, 10), (3, 0), (5, 0)])
-def test_runs_are_those_of_all_windows(spark, least_lines, least_words):
-    rows = lined()
+def runs_of(spark, rows, *limits, parts=4):
     got = {}
-    for r in repeated_runs(table(spark, rows, True).repartition(4), least_lines, least_words).collect():
-        got.setdefault(r.doc, []).extend(r.lines)
-        assert r.depth >= 1
-    assert {d: sorted(x) for d, x in got.items()} == brute_runs(rows, least_lines, least_words)
+    for r in repeated_runs(table(spark, rows, True).repartition(parts), *limits[:2], alone_words=limits[2] if limits[2:] else None).collect():
+        got.setdefault(r.doc, []).append((r.lines, r.n_words, r.first_doc))
+    return {d: sorted(x) for d, x in got.items()}
+
+
+@pytest.mark.parametrize("limits", [(1, 0), (2, 10), (3, 0), (5, 0), (2, 10, 10), (2, 12, 14)])
+def test_runs_are_the_maximal_repeated_ones(spark, limits):
+    rows = lined()
+    assert runs_of(spark, rows, *limits) == brute_runs(rows, *limits)
+
+
+def test_runs_of_all_lengths_share_a_beginning(spark):
+    """Copies that part after 1, 2, 3, ... lines, so intervals of every depth lie in one another."""
+    rng, rows = random.Random(8), []
+    base = [f"line {k} of one text" for k in range(23)]
+    for k in range(40):
+        a = rng.randrange(0, 20)
+        rows.append((100 + k, "\n".join([f"own {k}", *base[a : a + rng.randrange(1, 24)], f"end {k}", *(base[:5] if k % 7 == 0 else [])]), "en", "s", 1))
+    for limits in ((1, 0), (2, 10), (4, 0)):
+        assert runs_of(spark, rows, *limits) == brute_runs(rows, *limits)
+
+
+def test_pairs_of_lines_are_not_joined_to_reach_the_limit(spark):
+    a, b, c, d = (f"{x} has three" for x in "abcd")
+    rows = [(1, f"{a}\n{b}\nfirst", "en", "s", 1), (2, f"{b}\n{c}\nsecond", "en", "s", 1), (3, f"{c}\n{d}\nthird", "en", "s", 1), (4, "\n".join([a, b, c, d]), "en", "s", 1)]
+    assert runs_of(spark, rows, 2, 10) == {}
+    assert {r.doc_id: r.text for r in line_dedup(table(spark, rows)).collect()} == {r[0]: r[1] for r in rows}
+    rows.append((5, "\n".join([a, b, c, d, "more"]), "en", "s", 1))
+    assert runs_of(spark, rows, 2, 10) == {5: [([0, 1, 2, 3], 12, 4)]}
 
 
 @pytest.mark.parametrize("most_broadcast", [0, 10**6])
 def test_line_dedup_keeps_columns_and_other_documents(spark, most_broadcast):
     rows = lined()
-    want, kept = brute_runs(rows, 2, 10), {}
+    want, kept = brute_gone(rows, 2, 10), {}
     df = table(spark, rows, True)
     out = line_dedup(df.repartition(3), most_broadcast=most_broadcast)
     assert out.columns == df.columns
     for r in out.collect():
         kept[r.doc_id] = r.text
     for doc_id, text, *_ in rows:
-        gone = set(want.get(doc_id, ()))
+        gone = want.get(doc_id, set())
         left = text if not gone else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
         assert (doc_id not in kept) if gone and not left.strip() else kept[doc_id] == left
 
@@ -68,12 +102,17 @@ def test_line_dedup_keeps_columns_and_other_documents(spark, most_broadcast):
 def test_a_long_line_is_a_run_by_itself(spark):
     long = " ".join(f"w{k}" for k in range(55))
     rows = [(1, f"own one\n{long}\nown two\nshort line", "en", "s", 1), (2, f"other one\n{long}\nother two\n\nshort line", "en", "s", 1), (3, long, "en", "s", 1), (4, f"{long}\nlast", "en", "s", 1)]
-    got = {r.doc: (r.lines, r.n_words, r.depth, r.first_doc) for r in repeated_runs(table(spark, rows, True).repartition(3), alone_words=10).collect()}
-    assert got == {d: (x, 55, 1, 1) for d, x in ((2, [1]), (3, [0]), (4, [0]))}
+    assert runs_of(spark, rows, 2, 10, 10) == {d: [(x, 55, 1)] for d, x in ((2, [1]), (3, [0]), (4, [0]))}
     left = {r.doc_id: r.text for r in line_dedup(table(spark, rows), alone_words=10).collect()}
     assert left == {1: rows[0][1], 2: "other one\nother two\n\nshort line", 4: "last"}
 
 
+def test_words_are_parted_by_any_ascii_white_space(spark):
+    rows = [(1, "a\tb  c\x0bd\none two", "en", "s", 1), (2, "a\tb  c\x0bd\none two", "en", "s", 1)]
+    assert runs_of(spark, rows, 2, 6) == {2: [([0, 1], 6, 1)]}
+    assert runs_of(spark, rows, 2, 7) == {}
+
+
 def test_runs_of_unhappy_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert repeated_runs(empty).count() == 0

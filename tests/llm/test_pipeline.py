@@ -1,6 +1,6 @@
 import pytest
 from cases import SCHEMA, prose, table
-from test_dedup import brute_runs
+from test_dedup import brute_gone
 from test_filters import bench, brute_repeats, polluted
 from test_near_dup import brute, corpus
 from test_tokens import check_packed
@@ -10,11 +10,11 @@ from tessel.llm.decontam import words_of
 
 
 def lose_lines(rows):
-    gone = brute_runs(rows, 2, 10)
+    gone = brute_gone(rows, 2, 10, corpus_pipeline.ALONE_WORDS)
     out = []
     for doc_id, text, *rest in rows:
         if doc_id in gone:
-            text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in set(gone[doc_id]))
+            text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[doc_id])
             if not text.strip(" \t\n\x0b\x0c\r"):
                 continue
         out.append((doc_id, text, *rest))
