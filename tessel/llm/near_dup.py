@@ -15,8 +15,11 @@
 5. Links are confirmed on the full sets, and grouped by union-find.
 
 Defined results: null and empty texts, or texts of white space, have an empty set and stand alone;
-rows that share a doc_id are one node; a null doc_id is linked with nothing and kept; ties take the
-least doc_id. Other columns are ignored.
+rows that share a doc_id are one node, linked with whatever any of their texts is like; a null doc_id
+is linked with nothing and kept; ties take the least doc_id. Other columns are ignored.
+
+Tables that are aggregated by a key are written before they are joined by it, so that both sides of
+the join are plain shuffles and the rows of a hot key can be split over tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, flat_binary, flat_lists, raw_texts
+from tessel.llm.common import Scratch, flat_binary, flat_lists, raw_texts, release_memory
 from tessel.llm.components import components
 from tessel.llm.superminhash import band_hashes, forget, mix, shingle_set, signatures
 
@@ -55,10 +58,12 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x, shingle) for x in raw_texts(batch)]
-            yield pa.record_batch([batch.column("doc_id"), flat_binary(b"".join(x.tobytes() for x in sets), np.array([8 * len(x) for x in sets]))], names=["id", "set"])
+            with np.errstate(over="ignore"):
+                prints = np.array([x.sum() for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints), flat_binary(b"".join(x.tobytes() for x in sets), np.array([8 * len(x) for x in sets]))], names=["id", "fa", "set"])
         forget()
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, fa long, set binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -76,15 +81,16 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common.append(n)
                 either.append(len(x) + len(y) - n)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, type=pa.int64()), pa.array(either, type=pa.int64())], names=["a", "b", "common", "either"])
+        release_memory()
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, common long, either long")
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: pairs of members with different labels that share an element of their prefixes.
 
-    members: id, label, n_shingles. Elements are ordered by how many members hold them; a set's
+    members: id, fa, label, n_shingles. Elements are ordered by how many members hold them; a set's
     prefix is so long that what lies behind it is too little for a similarity of `percent`; two sets
     that are similar also hold enough behind the first element they share.
     """
@@ -93,21 +99,22 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("set")]
             which = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-            yield pa.record_batch([batch.column("id").take(which), pa.array(np.concatenate(sets))], names=["id", "e"])
+            yield pa.record_batch([batch.column("id").take(which), batch.column("fa").take(which), pa.array(np.concatenate(sets))], names=["id", "fa", "e"])
+        release_memory()
 
-    held = sets.join(members.select("id").hint("merge"), "id", "left_semi").mapInArrow(elements, "id long, e long")
-    often = held.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
-    shared = held.join(often.hint("merge"), "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("s"))
+    held = sets.join(members.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(elements, "id long, fa long, e long")
+    often = scratch.save(held.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = held.join(often, "e").groupBy("id", "fa").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("s"))
     # elements of this set alone come first in the order
     n = F.col("n_shingles").cast("int")
     alone = n - F.size("s")
     room = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1 - alone
-    prefix = shared.join(members, "id").where(room > 0).select("id", "label", "n_shingles", (alone + 1).alias("next"), F.posexplode(F.slice("s", F.lit(1), room)).alias("k", "x"))
-    prefix = prefix.select("id", "label", "n_shingles", (F.col("next") + F.col("k")).alias("at"), F.col("x.e").alias("e"))
+    prefix = shared.join(members, ["id", "fa"]).where(room > 0).select("id", "label", "n_shingles", (alone + 1).alias("next"), F.posexplode(F.slice("s", F.lit(1), room)).alias("k", "x"))
+    prefix = scratch.save(prefix.select("id", "label", "n_shingles", (F.col("next") + F.col("k")).alias("at"), F.col("x.e").alias("e")), "prefix")
     sizes = prefix.groupBy("e", "label").agg(F.count("*").alias("n"))
     major = sizes.groupBy("e").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1").select("e", F.col("top.label").alias("major"))
-    met = prefix.join(major, "e")
-    one = met.where(F.col("label") != F.col("major")).select("e", F.col("id").alias("i"), F.col("label").alias("l"), F.col("n_shingles").alias("m"), F.col("at").alias("j"))
+    met = scratch.save(prefix.join(scratch.save(major, "major"), "e"), "met")
+    one = scratch.save(met.where(F.col("label") != F.col("major")).select("e", F.col("id").alias("i"), F.col("label").alias("l"), F.col("n_shingles").alias("m"), F.col("at").alias("j")), "one")
     # behind the first element that two sets share, both must still hold enough
     enough = (100 + percent) * (F.least(F.col("n_shingles") - F.col("at"), F.col("m") - F.col("j")) + 1) >= percent * (F.col("n_shingles") + F.col("m"))
     both = met.join(one, "e").where((F.col("label") != F.col("l")) & ((F.col("label") == F.col("major")) | (F.col("id") < F.col("i"))) & enough)
@@ -125,30 +132,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, bands:
     copies = scratch.save(classes.where("n > 1").select("fa", "fb", "least"), "copies")
     # a null doc_id has a null class
     member = sign.select("doc_id", "n_shingles", "fa", "fb").join(copies, ["fa", "fb"], "left")
-    member = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("class"))
+    member = scratch.save(member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("class")), "member")
+    # rows that share a doc_id link their classes
+    several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    own = scratch.save(member.join(several, "doc_id").where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "own")
 
     # rows of a class other than the one that stands for it have no bands of their own
     first = sign.where(real).join(copies, ["fa", "fb"], "left").where(F.col("least").isNull() | (F.col("least") == F.col("doc_id")))
-    banded = first.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    banded = first.select("doc_id", "n_shingles", "fa", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "n")
-    buckets = scratch.save(banded.join(shared.hint("merge"), "band").select("band", F.col("doc_id").alias("id"), "n_shingles", "n").distinct(), "buckets")
+    buckets = scratch.save(banded.join(scratch.save(shared, "shared"), "band").select("band", F.col("doc_id").alias("id"), "n_shingles", "fa", "n").distinct(), "buckets")
 
-    ids = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    ids = scratch.save(buckets.groupBy("id").agg(F.sum("n").alias("met")), "ids")
     centre = buckets.join(ids, "id").groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n_shingles")).alias("c"))
-    centre = centre.select("band", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("m"))
+    centre = scratch.save(centre.select("band", (-F.col("c.minus")).alias("b"), F.col("c.n_shingles").alias("m")), "centre")
     near = (F.col("id") != F.col("b")) & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
     pairs = buckets.join(centre, "band").where(near).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = ids.select(F.col("id").alias("doc_id"))
     sets = scratch.save(sets_of(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle), "sets", compression="none")
     seen = scratch.save(compared(scratch.save(pairs, "pairs0"), sets), "compared0")
-    links = seen.where(similar).select("a", "b")
+    links = seen.where(similar).select("a", "b").unionByName(own)
     labels = components(links, scratch, "labels0")
 
-    now = buckets.select("band", "id", "n_shingles").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_members = scratch.save(now.join(split, "band").select("id", "label", "n_shingles").distinct(), "open")
-    rest = rare_pairs(open_members, sets, percent).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    now = scratch.save(buckets.select("band", "id", "n_shingles", "fa").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "now")
+    split = scratch.save(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band"), "split")
+    open_members = scratch.save(now.join(split, "band").select("id", "fa", "label", "n_shingles").distinct(), "open")
+    rest = rare_pairs(open_members, sets, percent, scratch).join(seen.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.save(compared(scratch.save(rest, "pairs1"), sets), "compared1")
     if log:
         log("pairs", seen.count(), "links", links.count(), "open", open_members.count(), "rest", more.count(), "links", more.where(similar).count())

@@ -20,20 +20,19 @@ def shingles(text):
 
 
 def brute(rows):
-    sets, parent = {}, {}
-    for doc_id, text, *_ in rows:
-        sets[doc_id], parent[doc_id] = shingles(text), doc_id
+    """Shingles and component of each row; rows that share a doc_id are one node."""
+    sets, parent = [(doc_id, shingles(text)) for doc_id, text, *_ in rows], {r[0]: r[0] for r in rows}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+    for (a, s), (b, t) in combinations(sets, 2):
+        if a != b and s and t and 100 * len(s & t) >= 75 * len(s | t):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
+    return {d: (len(s), root(d), root(d) == d) for d, s in sets}
 
 
 def edited(text, rng, n):
@@ -72,6 +71,24 @@ def test_unhappy_tables(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_texts_of_one_doc_id_link_what_they_are_like(spark):
+    a, b, c, d = (prose(300 + k, 80) for k in range(4))
+    rows = [(3, a), (7, a), (7, b), (9, b + " end"), (9, c), (5, c + " end"), (8, d), (8, prose(311, 120)), (20, prose(311, 120) + " x"), (21, prose(400, 70))]
+    rows = [(*r, "en", "s", 1) for r in rows] + [r for r in corpus() if r[0] >= 100]
+    want = brute(rows)
+    assert {d: want[d][1] for d in (3, 5, 7, 9, 8, 20, 21)} == {3: 3, 5: 3, 7: 3, 9: 3, 8: 8, 20: 8, 21: 21}
+    got = near_duplicates(table(spark, rows, True).repartition(5)).collect()
+    assert len(got) == len(rows)
+    assert all((r.component_id, r.kept) == want[r.doc_id][1:] for r in got)
+
+
+def test_one_signature_whatever_the_batch():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (150_000, 120_000, 3, 90_000, 260_000, 1)]
+    got = signatures(np.concatenate(sets), np.array([len(x) for x in sets]), 8)
+    assert (got == np.concatenate([signatures(x, np.array([len(x)]), 8) for x in sets])).all()
+
+
 def slow_signature(elements, registers):
     """The register values by their definition, one element at a time."""
     from tessel.llm.superminhash import GOLDEN, mix
