@@ -1,26 +1,31 @@
-"""Removal of passages that stand in an earlier document, by hashing lines cut into sentences.
-
-A unit is a line, cut behind sentence marks and in front of capitals, so that a passage pasted into
-the middle of a line falls into the same units wherever it stands. Units of more than `WINDOW` words
-are cut again in front of words chosen by their hash: the least of each `WINDOW` words in a row. The
-choice depends on these words alone, so a passage without any mark is cut alike in every text but
-for less than `WINDOW` words at either end; long stretches without a space are cut so by characters.
-Units are compared without letter case, white space and closing marks. Short units say little, so what is hashed is the least
-run of consecutive units that weighs `least_words`, from each unit forwards and, for short units,
-backwards. Digests (128 bits) are grouped over all documents; the occurrence of lowest rank
-(doc_id, then offset) stays, and every other is a span of its document, merged with its neighbours.
-Offsets are code points of the original text.
-
-Defined results: null, empty and very short texts have no run and lose nothing; rows that share a
-doc_id rank by offset as one document; a null doc_id ranks last; an empty table gives an empty result.
+"""Removal of passages that stand in an earlier document, by hashing lines and parts of lines.
+
+1. Words are what stands between white space, compared without letter case and the marks around them;
+   words of more than `CHARACTERS` characters (scripts without spaces) are cut into pieces.
+2. A unit begins with each line, with each piece of a long word and behind it, and at words chosen by
+   their hash: the least of each `WINDOW` words in a row. The choice depends on these words alone, so a
+   passage falls into the same units wherever it stands, but for less than `WINDOW` words at either end.
+3. Hashed are the lines that weigh `least_words`, and the runs of `UNITS` units, taken on to
+   `least_words` where they weigh less, from each unit forwards and backwards. A word weighs one, a
+   piece of a long word one for each six characters. Digests have 96 bits.
+4. Digests are grouped over all documents: the occurrence of lowest rank (doc_id, hash of the text,
+   then offset) stays, and every other is a span of its document, merged with its neighbours.
+   Offsets are code points of the original text.
+
+A task keeps of each digest only the lowest occurrence it has met; the others are known to be later
+ones, so they are spans at once. What is left is packed by buckets of digests and shuffled once. A
+digest that a third of all documents hold is thus one entry for each flush of a task, and the number of
+buckets follows from the size of all texts, so a bucket's size is bounded.
+
+Defined results: null, empty and short texts lose nothing; texts that share a doc_id are documents of
+their own, told apart by `text_hash`; rows with the same doc_id and text are copies: the first (copy 0)
+is one document, the others are spans of their whole text if it has a word; a null doc_id ranks last;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
-import zlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,161 +34,244 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch
-
-_capitals = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Lu", "Lt")]
-#: All capitals and title-case letters, and line feeds; those above U+FFFF apart, as a class that holds them is slow.
-UPPER = "[{}\n]|(?=[\U00010000-\U0010ffff])[{}]".format(*("".join(c for c in _capitals if (c > "\uffff") == x) for x in (False, True)))
-#: Sentence marks of other scripts, which end a unit whatever follows.
-MARKS = "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8\u1aa9\u1aaa\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u2026\u203c\u203d\u2047\u2048\u2049\u2e2e\u2e3c\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
-END = f".!?{MARKS}"
-UNIT = re.compile(rf"\S(?:[^\n.!? \t]++|[.!?]++(?!\s|$)|[ \t]++(?!{UPPER}))*+[.!?]*+")
-#: The same for texts that hold other marks; it is slower.
-MARKED_UNIT = re.compile(rf"(?:[{MARKS}]|[^\s{MARKS}](?:[^\n{END} \t]++|[.!?]++(?!\s|$|[{MARKS}])|[ \t]++(?!{UPPER}))*+)[{END}]*+")
-OTHER_MARKS = frozenset(MARKS)
-WORD = re.compile(r"\S+")
+from tessel.llm.common import Scratch, release_memory
+from tessel.llm.superminhash import GOLDEN, mix
+
 #: Of so many words in a row, or characters of a word longer than that, one begins a unit.
 WINDOW, CHARACTERS = 12, 48
-#: Marks behind a unit that say nothing.
-CLOSING = f"{END},;: \t"
+#: Units of a run.
+UNITS = 3
+#: Marks around a word that say nothing.
+MARKS = string.punctuation + "‘’“”„«»…–—、。，！？：；।۔؟"
 LAST = 2**63 - 1
+SPACES = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+#: Odd multipliers of the two digests, with their inverses modulo 2^64.
+BASES = tuple((x, pow(x, -1, 2**64)) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+SPANS = "doc long, version long, start int, end int"
+#: Fields of an occurrence, one after the other in a packed bucket.
+FIELDS = (("a", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("b", "<u4"), ("start", "<i4"), ("end", "<i4"))
+ENTRY = sum(np.dtype(x).itemsize for _, x in FIELDS)
 
 
 class WordHashes(dict):
-    """Hashes of words without case and closing marks; emptied when it holds too many."""
+    """64-bit hashes of words without case and marks; emptied when it holds too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
-        self[word] = found = zlib.crc32(word.rstrip(CLOSING).encode("utf-8", "surrogatepass"))
+        low = word.lower()
+        self[word] = found = xxhash.xxh64_intdigest((low.strip(MARKS) or low).encode()) or 1
         return found
 
 
 _hashes = WordHashes()
 
 
-def chosen(hashes: list[int], window: int) -> list[int]:
-    """Places of the least of each `window` hashes in a row, the last of equal ones."""
-    out, at, least = [], -1, 0
-    for k, new in enumerate(hashes[window - 1 :]):
-        if at < k:
-            here = hashes[k : k + window]
-            least = min(here)
-            at = k + window - 1 - here[::-1].index(least)
-        elif new <= least:
-            at, least = k + window - 1, new
-        else:
-            continue
-        out.append(at)
-    return out
-
-
-def parts_of(unit: str) -> list[tuple[int, int, list[str]]]:
-    """Start, end and words of the parts that a unit is cut into, none of them long."""
-    words = unit.lower().split()
-    long = len(unit) > CHARACTERS and max(map(len, words)) > CHARACTERS
-    if len(words) <= WINDOW and not long:
-        return [(0, len(unit), words)]
-    spans = [m.span() for m in WORD.finditer(unit)]
-    begin = [k for k in chosen(list(map(_hashes.__getitem__, words)), WINDOW) if k]
-    if not long:
-        cuts = [0, *begin, len(words)]
-        return [(spans[a][0], spans[b - 1][1] if b < len(words) else len(unit), words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    places = {spans[k][0] for k in begin}
-    for a, b in spans:
-        if b - a > CHARACTERS:
-            grams = [zlib.crc32(unit[k : k + 4].lower().encode("utf-8", "surrogatepass")) for k in range(a, b - 3)]
-            places.update(a + k for k in chosen(grams, CHARACTERS - 3))
-    cuts = [0, *sorted(places - {0}), len(unit)]
-    return [(a, a + len(unit[a:b].rstrip()), unit[a:b].lower().split()) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def keys_of(text: str, least_words: int) -> tuple[list[bytes], list[int], list[int]]:
-    """Digest, start and end of each run of units that weighs enough."""
-    starts, ends, norms, weights = [], [], [], []
-    unit = UNIT if text.isascii() or OTHER_MARKS.isdisjoint(text) else MARKED_UNIT
-    for m in unit.finditer(text):
-        for start, end, words in parts_of(m.group()):
-            starts.append(m.start() + start)
-            ends.append(m.start() + end)
-            norms.append(norm := " ".join(words).rstrip(CLOSING))
-            weights.append(max(norm.count(" ") + (norm != ""), (end - start) // 12))  # scripts without spaces
-    runs, n, low, high, weight = set(), len(starts), 0, 0, 0
-    for k in range(n):  # from each unit forwards
-        if high < k:
-            high, weight = k, 0
-        while high < n and weight < least_words:
-            weight += weights[high]
-            high += 1
-        if weight < least_words:
-            break
-        runs.add((k, high))
-        weight -= weights[k]
-    low, weight = n, 0
-    for k in range(n - 1, -1, -1):  # and backwards
-        if low > k + 1:
-            low, weight = k + 1, 0
-        while low > 0 and weight < least_words:
-            low -= 1
-            weight += weights[low]
-        if weight < least_words:
-            break
-        runs.add((low, k + 1))
-        weight -= weights[k]
-    order = sorted(runs)
-    return [xxhash.xxh3_128_digest("\x1f".join(norms[a:b])) for a, b in order], [starts[a] for a, _ in order], [ends[b - 1] for _, b in order]
-
-
-def keyed(docs: DataFrame, least_words: int) -> DataFrame:
-    """a, b (the digest), doc_id, start, end, and whether the document has that digest before."""
+def sliding(x: np.ndarray, window: int, least) -> np.ndarray:
+    """np.minimum or np.maximum over each `window` values in a row."""
+    size = 1
+    while 2 * size <= window:
+        x, size = least(x[:-size], x[size:]), 2 * size
+    return least(x[: len(x) - (window - size)], x[window - size :]) if size < window else x
+
+
+def chosen(x: np.ndarray, window: int) -> np.ndarray:
+    """Whether each value is the least of some `window` values in a row; a 0 lets none that hold it choose."""
+    if len(x) < window:
+        return np.zeros(len(x), dtype=bool)
+    low, pad = sliding(x, window, np.minimum), np.zeros(window - 1, dtype=x.dtype)
+    return (sliding(np.concatenate([pad, low, pad]), window, np.maximum) == x) & (x > 0)
+
+
+def pieces_of(points: np.ndarray) -> np.ndarray:
+    """Where the pieces of a long word begin: at runs of four characters chosen by their hash. Case folds for ASCII letters only."""
+    c = points.astype(np.uint64)
+    c += np.where((c >= 65) & (c <= 90), np.uint64(32), np.uint64(0))
+    grams = c[:-3]
+    for k in range(1, 4):
+        grams = mix(grams * GOLDEN + c[k : len(c) - 3 + k])
+    cut = np.flatnonzero(chosen(np.maximum(grams, np.uint64(1)), CHARACTERS - 3))
+    return np.unique(np.append(cut, 0))
+
+
+def occurrences(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
+    """Number of the text, digest (64 and 32 bits), start and end of everything that is hashed, by text and start."""
+    joined = "\n".join(texts)
+    base = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+    points = np.frombuffer(joined.encode(), dtype=np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    space = SPACES[points] if points.itemsize == 1 else SPACES[np.minimum(points, len(SPACES) - 1)]
+    edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
+    starts, ends, words = edges[::2], edges[1::2], joined.split()
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    weight, piece = np.ones(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+    if len(long := np.flatnonzero(ends - starts > CHARACTERS)):
+        begin = [starts[k] + pieces_of(points[starts[k] : ends[k]]) for k in long]
+        stop = [np.append(x[1:], ends[k]) for x, k in zip(begin, long, strict=True)]
+        begin, stop = np.concatenate(begin), np.concatenate(stop)
+        own = np.array([_hashes[joined[a:b]] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+        starts, ends = np.concatenate([np.delete(starts, long), begin]), np.concatenate([np.delete(ends, long), stop])
+        h, weight = np.concatenate([np.delete(h, long), own]), np.concatenate([np.delete(weight, long), np.maximum(1, (stop - begin) // 6)])
+        order = np.argsort(starts, kind="stable")
+        piece = order >= len(piece) - len(long)
+        starts, ends, h, weight = starts[order], ends[order], h[order], weight[order]
+    n = len(h)
+    if not n:
+        return tuple(np.zeros(0, dtype=x) for x in (np.int64, np.uint64, np.uint32, np.int64, np.int64))
+    doc = np.searchsorted(base, starts, side="right") - 1
+    fresh = np.diff(np.searchsorted(np.flatnonzero(points == 10), starts), prepend=-1) != 0  # texts are lines apart
+    at = np.arange(n) + np.cumsum(np.diff(doc, prepend=-1) != 0)
+    apart = np.zeros(n + len(texts) + 1, dtype=np.uint64)  # a 0 between texts and for pieces
+    apart[at] = np.where(piece, 0, h)
+    # units, and the weight before each of their borders
+    piece[1:] |= piece[:-1]
+    border = np.append(np.flatnonzero(fresh | piece | chosen(apart, WINDOW)[at]), n)
+    before = np.concatenate([[0], np.cumsum(weight)])[border]
+    unit_doc, k = doc[border[:-1]], np.arange(len(border) - 1)
+    first, last = np.searchsorted(unit_doc, unit_doc), np.searchsorted(unit_doc, unit_doc, side="right")
+    to, since = np.searchsorted(before, before[:-1] + least_words), np.searchsorted(before, before[1:] - least_words, side="right") - 1
+    line = np.append(np.flatnonzero(fresh[border[:-1]]), len(k))
+    whole = before[line[1:]] - before[line[:-1]] >= least_words
+    runs = [(k, np.minimum(np.maximum(to, k + UNITS), last), to <= last), (np.maximum(np.minimum(since, k + 1 - UNITS), first), k + 1, since >= first), (line[:-1], line[1:], whole)]
+    code = np.unique(np.concatenate([(a * len(border) + b)[ok] for a, b, ok in runs]))
+    low, high = border[code // len(border)], border[code % len(border)]
+    digests = []
+    with np.errstate(over="ignore"):
+        for number, (factor, inverse) in enumerate(BASES):
+            powers, back = (np.cumprod(np.append(np.ones(1, dtype=np.uint64), np.full(n, x, dtype=np.uint64))) for x in (factor, inverse))
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((mix(h + np.uint64(number)) if number else h) * powers[:-1], dtype=np.uint64)])
+            digests.append(mix((total[high] - total[low]) * back[low] + (high - low).astype(np.uint64) * GOLDEN))
+    owner = doc[low]
+    return owner, digests[0], (digests[1] >> np.uint64(32)).astype(np.uint32), starts[low] - base[owner], ends[high - 1] - base[owner]
+
+
+def later(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences sorted by digest, then rank: the first of each digest, and those that aren't (nor a copy of the first)."""
+    if not len(x["a"]):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.concatenate([[True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])])
+    first = np.flatnonzero(new)
+    of = first[np.cumsum(new) - 1]
+    other = np.logical_or.reduce([x[y] != x[y][of] for y in ("doc", "version", "start")])
+    return first, np.flatnonzero(other)
+
+
+def spans_batch(x: dict[str, np.ndarray], which: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x["doc"][which]), pa.array(x["version"][which]), pa.array(x["start"][which].astype(np.int32)), pa.array(x["end"][which].astype(np.int32))]
+
+
+def _gathered(least_words: int, buckets: int, flush_at: int, batch_chars: int):
+    """Texts to packed buckets of occurrences (payload), and spans that are known at once (bucket -1)."""
+
+    def flush(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        x = {y: np.concatenate([p[y] for p in parts]) for y, _ in FIELDS}
+        # by rank, then, in a way that leaves equal ones so, by digest
+        order = np.lexsort((x["start"], x["version"], x["doc"]))
+        order = order[np.argsort(x["a"][order], kind="stable")]
+        x = {y: z[order] for y, z in x.items()}
+        first, rest = later(x)
+        names = ["bucket", "payload", "doc", "version", "start", "end"]
+        if len(rest):
+            yield pa.record_batch([pa.array(np.full(len(rest), -1, dtype=np.int32)), pa.nulls(len(rest), pa.binary()), *spans_batch(x, rest)], names=names)
+        bucket = (x["a"][first] % np.uint64(buckets)).astype(np.int32)
+        first = first[np.argsort(bucket, kind="stable")]
+        found, sizes = np.unique(bucket, return_counts=True)
+        cuts = np.cumsum(sizes)[:-1]
+        fields = [np.split(x[y][first].astype(kind), cuts) for y, kind in FIELDS]
+        for a in range(0, len(found), 256):
+            rows = range(a, min(a + 256, len(found)))
+            packed = pa.array([b"".join(f[k].tobytes() for f in fields) for k in rows], type=pa.binary())
+            yield pa.record_batch([pa.array(found[a : a + 256]), packed, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            names, digests, starts, ends, again = [], [], [], [], []
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found, low, high = keys_of(text or "", least_words)
-                seen: set[bytes] = set()
-                for x in found:
-                    again.append(x in seen)
-                    seen.add(x)
-                names += [name] * len(found)
-                digests += found
-                starts += low
-                ends += high
-            ab = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield pa.record_batch(
-                [pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(names, type=pa.int64()), pa.array(starts, type=pa.int64()), pa.array(ends, type=pa.int64()), pa.array(again, type=pa.bool_())],
-                names=["a", "b", "doc_id", "start", "end", "again"],
-            )
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(run, "a long, b long, doc_id long, start long, end long, again boolean")
-
-
-def repeated_spans(docs: DataFrame, least_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, start, end and first_doc_id (the least document that has its beginning) of each span to remove."""
+            names, versions = (np.asarray(batch.column(x)) for x in ("doc", "version"))
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            for group in np.split(np.arange(len(texts)), np.unique(np.searchsorted(ends, np.arange(batch_chars, int(ends[-1]), batch_chars)))) if texts else ():
+                if not len(group):
+                    continue
+                owner, a, b, start, end = occurrences([texts[k] for k in group], least_words)
+                owner = group[owner]
+                parts.append({"a": a, "b": b, "doc": names[owner], "version": versions[owner], "start": start, "end": end})
+                size += len(a)
+                if size >= flush_at:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        if size:
+            yield from flush(parts)
+        _hashes.clear()
+        release_memory()
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket to spans."""
+    bucket, payloads = None, []
+
+    def spans() -> pa.RecordBatch:
+        x, at = {}, 0
+        sizes = [len(p) // ENTRY for p in payloads]
+        for y, kind in FIELDS:
+            width = np.dtype(kind).itemsize
+            x[y] = np.concatenate([np.frombuffer(p, dtype=kind, count=n, offset=at * n) for p, n in zip(payloads, sizes, strict=True)])
+            at += width
+        order = np.argsort(x["a"], kind="stable")
+        a = x["a"][order]
+        twice = np.concatenate([[False], a[1:] == a[:-1]])
+        order = order[twice | np.concatenate([twice[1:], [False]])]
+        order = order[np.lexsort([x[y][order] for y in ("start", "version", "doc", "b", "a")])]
+        x = {y: z[order] for y, z in x.items()}
+        return pa.record_batch(spans_batch(x, later(x)[1]), names=["doc", "version", "start", "end"])
+
+    for batch in batches:
+        at_once = batch.filter(pa.compute.less(batch.column("bucket"), 0))
+        if len(at_once):
+            yield at_once.select(["doc", "version", "start", "end"])
+        for k, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+            if k < 0:
+                continue
+            if k != bucket and payloads:
+                yield spans()
+                payloads = []
+            bucket = k
+            payloads.append(payload.as_buffer())
+    if payloads:
+        yield spans()
+    release_memory()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, starts, ends, counts = [], [], [], []
+        for s in batch.column("s"):
+            start, end = (s.values.field(k).to_numpy() for k in range(2))
+            reach = np.maximum.accumulate(end)
+            new = np.concatenate([[True], start[1:] > reach[:-1]])
+            starts.append(start[new])
+            ends.append(reach[np.concatenate([new[1:], [True]])])
+            counts.append(int(new.sum()))
+        which = pa.array(np.repeat(np.arange(len(counts)), counts))
+        docs = [batch.column(x).take(which) for x in ("doc", "version")]
+        none = [np.zeros(0, dtype=np.int32)]
+        yield pa.record_batch([*docs, pa.array(np.concatenate(none + starts)), pa.array(np.concatenate(none + ends))], names=["doc", "version", "start", "end"])
+
+
+def repeated_spans(docs: DataFrame, least_words: int = 16, bucket_bytes: int = 16 << 20, flush_at: int = 1 << 20, batch_chars: int = 2 << 20, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, text_hash, copy, start and end of each span to remove. bucket_bytes: of text, for each bucket of digests."""
     scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
-    keys = scratch.save(keyed(docs, least_words), "keys")
-    # half of a digest tells most of the single ones, so that little is shuffled for them
-    often = keys.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    again = scratch.save(keys.join(often, "a", "left_semi"), "again")
-    scratch.drop("keys")
-    firsts = again.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = again.join(firsts, ["a", "b"]).where(F.col("again") | (F.col("first") < F.col("doc_id")))
-    spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("s"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = []
-            for name, s in zip(batch.column("doc_id").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                open_until = -1
-                for x in s:
-                    if x["start"] > open_until:
-                        out.append([None if name == LAST else name, x["start"], x["end"], None if x["first"] == LAST else x["first"]])
-                    open_until = max(open_until, x["end"])
-                    out[-1][2] = open_until
-            yield pa.record_batch([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], type=pa.int64())] * 4, names=["doc_id", "start", "end", "first_doc_id"])
-
-    return spans.mapInArrow(merge, "doc_id long, start long, end long, first_doc_id long")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    rows = scratch.save(named.select("doc", "version", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("any")), "rows")
+    buckets = -(-(rows.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes) * 8 + 8
+    packed = named.mapInArrow(_gathered(least_words, buckets, flush_at, batch_chars), f"bucket int, payload binary, {SPANS}")
+    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, SPANS)
+    listed = spans.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    out = listed.mapInArrow(_merged, SPANS).withColumn("copy", F.lit(0).cast("long"))
+    copies = rows.where("any").groupBy("doc", "version", "chars").agg(F.count("*").alias("n")).where("n > 1")
+    copies = copies.select("doc", "version", F.lit(0).alias("start"), F.col("chars").alias("end"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("copy"))
+    out = out.unionByName(copies)
+    return out.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), F.col("version").alias("text_hash"), "copy", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
