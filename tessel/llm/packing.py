@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Scratch, flat_binary, release_memory
-from tessel.llm.tokens import encoder
+from tessel.llm.tokens import encoded, encoder
 
 PLACED = "part long, piece long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 MOVED = "part long, piece long, sub_start long, length long, slot long, sequence_id long, offset long"
@@ -85,13 +85,16 @@ class Packer:
                     window = []
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 32, waste: int = 32, group: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit) of each piece."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 32, waste: int = 32, group: int = 64, scratch: Scratch | None = None, kept_pieces: int = 800_000) -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit) of each piece.
+
+    A worker keeps at most twice `kept_pieces` pieces of text with their ids.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer, kept_pieces), TaskContext.get().partitionId()
         packer, texts = Packer(size, open_windows, waste), {}
         done, sequence, piece = [], 0, 0
 
@@ -115,9 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
 
         key = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(coder.encode(text or ""), np.uint32(end_id))
-                texts[key] = [doc_id, ids, len(ids)]
+            for doc_id, ids in encoded(coder, batch, end_id):
+                texts[key] = [doc_id, ids.copy(), len(ids)]
                 for window in packer.add(key, 0, len(ids)):
                     put(window, part << GROUP | sequence)
                     sequence += 1

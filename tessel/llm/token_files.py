@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessel.llm.common import flat_binary, joined, release_memory
-from tessel.llm.tokens import encoder
+from tessel.llm.tokens import encoded, encoder
 
 SEGMENT = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, planes string, block_ids int, index array<long>, payload binary"
 DECODED = "doc_id long, shard int, shard_start long, n_tokens long, ids binary"
@@ -83,16 +83,16 @@ def decode_segment(payload: bytes, index: list[int], n_ids: int, planes: str, bl
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, planes: str = "byte", block_ids: int = 16_384, segment_ids: int = 1 << 19) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, planes: str = "byte", block_ids: int = 16_384, segment_ids: int = 1 << 19, kept_pieces: int = 800_000) -> None:
     """Encodes doc_id and text of `docs` with the tokenizer file and writes the file set to `path`.
 
     Texts are dealt by ranges of doc_id, so each shard is encoded and written by one task and a
-    segment never leaves its task's memory. A document of any length stays in one segment.
+    segment never leaves its task's memory. A document of any length stays in one segment. A worker
+    keeps at most twice `kept_pieces` pieces of text with their ids.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=np.uint32)
+        coder, shard = encoder(tokenizer, kept_pieces), TaskContext.get().partitionId()
         names, lens, parts, size, segment, before = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -102,12 +102,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.record_batch([pa.array(x, type=t) for x, t in zip(one, kinds, strict=True)], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = coder.encode(text or "")
+            for doc_id, ids in encoded(coder, batch, end_id):
                 names.append(doc_id)
-                lens.append(len(ids) + 1)
-                parts += [ids, end]
-                size += len(ids) + 1
+                lens.append(len(ids))
+                parts.append(ids)
+                size += len(ids)
                 if size >= segment_ids:
                     yield flush()
                     names, lens, parts, size, segment, before = [], [], [], 0, segment + 1, before + size

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, awkward, table
 from hypothesis import given, settings
@@ -19,7 +21,7 @@ crc = lambda ids: zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())  # noqa: E7
 
 
 def whole(path, text):
-    return ENCODERS[path].tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    return FRESH[path].encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @settings(max_examples=300, deadline=None)
@@ -29,6 +31,31 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
         assert encoder.encode(text).tolist() == whole(path, text)[:-1]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("aBcÉ.,*-;é'sß1\n    \t\xa0\u2003,漢<|"), max_size=30) | st.just("x <|endoftext|> y"), max_size=9))
+def test_batches_give_the_ids_of_each_text(texts):
+    for path, encoder in ENCODERS.items():
+        ids, counts = encoder.encode_batch(pa.array(texts, type=pa.string()), 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [whole(path, x) for x in texts] if texts else len(ids) == 0
+
+
+def test_pieces_move_between_generations():
+    coder = Encoder(BYTE, most=30)
+    rng = random.Random(2)
+    words = [f"w{k}x" for k in range(60)]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(12))
+        assert coder.encode_batch(pa.array([text, "", text[3:]]), 2)[0].tolist() == whole(BYTE, text) + [2] + whole(BYTE, text[3:])
+        assert len(coder.known) < 30 + 80
+        assert len(coder.old) < 30 + 80
+
+
+def test_a_piece_of_very_many_ids():
+    coder = Encoder(BYTE)
+    coder._put(["\tx"], np.ones(1 << 24, dtype=np.uint32), np.array([1 << 24]))
+    assert len(coder._ids(coder._at(["\tx"]))[0]) == 1 << 24
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDofText|>", "<|endoftext", "<|", "|>", "a", "É", " ", "\n", ".", "  "]), max_size=12))
 def test_added_tokens_are_those_of_the_plain_call(parts):
@@ -51,14 +78,20 @@ def test_planes_round_trip(ids, planes, block, a, b):
     assert (decode_segment(payload, index, len(ids), planes, block, low, high) == ids[low:high]).all()
 
 
+def hostile():
+    """Rows with added tokens' strings, null and repeated ids, and a long text without spaces."""
+    text = "a <|endoftext|> b\n<|startoftext|>"
+    return [*awkward(), (None, text, "en", "s", 1), (None, "null id", "en", "s", 1), (10, text, "en", "s", 1), (10, "other", "en", "s", 1), (50, "abc,de" * 30_000, "en", "s", 1)]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_files_hold_every_document_in_order(spark, planes):
-    rows = awkward()
+    rows = hostile()
     path = Scratch(spark, "t").path("set")
     write_token_files(table(spark, rows, True).repartition(3), path, BYTE, planes=planes, block_ids=64, segment_ids=500)
-    got = sorted(read_token_files(spark, path).collect())
+    got = sorted(read_token_files(spark, path).collect(), key=lambda r: r.start)
     start = 0
-    for row, (doc_id, text, *_) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
+    for row, (doc_id, text, *_) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0], x[1] is not None, x[1])), strict=True):
         ids = whole(BYTE, text)
         assert (row.doc_id, row.start, row.n_tokens, bytes(row.ids)) == (doc_id, start, len(ids), np.array(ids, dtype="<u4").tobytes())
         start += len(ids)
