@@ -89,6 +89,28 @@ def test_run_gives_the_last_stage(spark, stages):
     assert len(set(map(key, got))) == len(got)
 
 
+def test_stages_treat_rows_of_null_and_repeated_ids_each(spark, tmp_path):
+    spark.createDataFrame(bench(), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = (prose(1500 + k, 70) for k in range(3))
+    bad = dict(bench())[7]
+    rows = [(3, a), (7, a), (7, b), (9, b + " end"), (None, c), (None, c), (None, c + " x"), (4, c), (5, bad), (5, c + " and quite another end of it all"), (None, bad), (6, None), (6, None), (None, "")]
+    rows = [(*r, "en", "s", 1) for r in rows]
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    docs = table(spark, rows).repartition(3)
+    near = [(3, a), (7, b), (4, c), (5, bad), (6, None), (None, "")]
+    assert pairs(corpus_pipeline.near_dup_stage(spark, docs, str(tmp_path))) == sorted(near, key=str)
+    clean = [r[:2] for r in rows if r[1] != bad]
+    assert pairs(corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))) == sorted(clean, key=str)
+    line = " ".join(f"w{k}" for k in range(30))
+    docs = table(spark, [(8, f"{line}\nown", "en", "s", 1), (8, f"{line}\nother", "en", "s", 1), (None, line, "en", "s", 1)])
+    assert [x[1] for x in pairs(corpus_pipeline.line_stage(spark, docs, str(tmp_path)))].count(line) == 0
+    docs = table(spark, [(None, a, "en", None, 1), (8, a, "en", None, 1), (8, a, "en", None, 1), (None, None, None, None, None)])
+    assert pairs(corpus_pipeline.quality_stage(spark, docs, str(tmp_path))) == sorted([(None, a), (8, a), (8, a)], key=str)
+    packed = corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.length) for r in packed if r.doc_id is None)[-1][1] > 60
+    assert sum(r.doc_tokens == 1 for r in packed) == 1
+
+
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench(), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
