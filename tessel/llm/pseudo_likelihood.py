@@ -1,41 +1,59 @@
 """Masked pseudo-likelihood: a small network predicts every word from the two words on either side.
 
-Words are hashed to cells and cells are put into classes of about equal mass, most frequent first;
-a word's conditional probability is that of its class given the window, times its cell's share of
-the class. The window is the classes of both neighbours and a coarser grouping of the words beyond.
-
-Everything the network learns from is counted over all documents: cells first, then windows. Each
-task counts its own documents and sends what it found, tasks are added up by a shuffle, and the sum
-has a bounded number of rows whatever the input, so the network is trained in numpy on the exact
-counts of the whole corpus. As windows are finite, its log-probabilities are tabulated once, and
-scoring looks them up. Places outside a text are a class of their own.
+1. All words of all documents are counted: a table that grows with the corpus. Words that make up
+   `least_share` of the corpus or more are the vocabulary, so it has at most 1 / `least_share` words
+   whatever the input; that bounds what is sent to the executors. Other words are rare: they are one
+   entry for each of four lengths, and are told apart by their spelling.
+2. Entries are put into classes of about equal mass, most frequent first. A network over the window
+   (the classes of both neighbours, and a coarser grouping of the words beyond) predicts the class
+   of the word in the middle; it is trained in numpy on the exact counts of all windows of the corpus.
+3. The network's hidden layer parts the windows into contexts (k-means). How often each entry stands
+   in each context is counted over all documents, so an entry's share of its class depends on the
+   window as well.
+4. log p(word | window) = log p(class | window) + log p(entry | class, context), and for a rare word
+   its spelling's log-probability: bytes, each after the classes of two bytes before, up to the end
+   of the word, counted over all texts.
+
+Each task counts its own documents and sends what it found, tasks are added up by a shuffle. As
+windows are finite, the network's log-probabilities are tabulated once, and scoring looks them up.
+Places outside a text are a class of their own.
 
 Defined results: null and empty texts have no words, log_prob 0 and a null score; repeated rows and
-null doc_ids are scored as they are; an empty table gives an empty result.
+null doc_ids are scored as they are; words are compared without ASCII letter case; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import raw_texts
-from tessel.llm.superminhash import forget, word_hashes
+from tessel.llm.common import Scratch, raw_texts, release_memory
+from tessel.llm.superminhash import FOLD, WordHashes
 
-CELL_BITS = 18
+#: Rare words are parted by their number of bytes, at these borders.
+LENGTHS = (5, 9, 15)
+RARE = len(LENGTHS) + 1
+#: Classes of bytes that spelling looks back on: a space, each letter a-z, digits, other ASCII, and other bytes by their upper bits.
+BEHIND = 37
+CLASS_OF = np.array([0 if b == 32 else 1 + b - 97 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 if b < 128 else 29 + (b - 128) // 16 for b in range(256)])
+SPELLING = 9  # kind of the counts of spelling; those of words are of kinds 0 to 3, by length
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Classes of words (class 0 is outside the text), and groups of classes for the outer places."""
+    """Classes of entries (class 0 is outside the text), groups of classes for the outer places, contexts of windows."""
 
     classes: int = 48
     groups: int = 6
+    contexts: int = 12
 
     def group(self, c: np.ndarray) -> np.ndarray:
         return np.where(c == 0, 0, 1 + (c - 1) * (self.groups - 1) // (self.classes - 1))
@@ -45,25 +63,93 @@ class Shape:
         return self.groups * self.classes * self.classes * self.groups
 
 
-def cells_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all words, and the number of words of each text."""
-    found = [word_hashes(x) for x in texts]
-    counts = np.array([len(x) for x in found], dtype=np.int64)
-    return (np.concatenate(found) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64), counts
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All words, and the number of words of each text."""
+    found = [x.translate(FOLD).split() for x in texts]
+    return list(chain.from_iterable(found)), np.array([len(x) for x in found], dtype=np.int64)
+
+
+def spelling_codes(words: list[bytes]) -> np.ndarray:
+    """For each byte of the words and the space behind each: the classes of two bytes before (spaces at the start), and the byte."""
+    b = np.frombuffer(b"  " + b"  ".join(words) + b" ", dtype=np.uint8)
+    c = CLASS_OF[b]
+    codes = (c[:-2] * BEHIND + c[1:-1]) * 256 + b[2:]
+    return codes[~((b[2:] == 32) & (b[1:-1] == 32))]  # the second space between words is no part of either
+
+
+class Entries(dict):
+    """The entry of each word: its place in the vocabulary, or behind that the rare words of its length."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.place, self.size = {h: k for k, h in enumerate(vocabulary.tolist())}, len(vocabulary)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 250_000:
+            self.clear()
+        found = self.place.get(xxhash.xxh64_intdigest(word))
+        self[word] = found = self.size + int(np.searchsorted(LENGTHS, len(word), side="right")) if found is None else found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def word_counts(docs: DataFrame, scratch: Scratch, most_held: int = 1_000_000) -> DataFrame:
+    """kind, key and n over all documents: words by length (key: hash), and spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = np.zeros(BEHIND * BEHIND * 256, dtype=np.int64)
+        hashes, held, size = WordHashes(), [], 0
+
+        def rows(kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
+        def merged() -> list[np.ndarray]:
+            key, kind, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+            return [key[order][new], kind[order][new], np.add.reduceat(n[order], new)]
+
+        for batch in batches:
+            words, _ = words_of(list(raw_texts(batch)))
+            if not words:
+                continue
+            key, first, n = np.unique(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), return_index=True, return_counts=True)
+            kind = np.searchsorted(LENGTHS, [len(words[k]) for k in first.tolist()], side="right")
+            held.append([key, kind, n])
+            size += len(key)
+            spelling += np.bincount(spelling_codes(words), minlength=len(spelling))
+            if size > most_held:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > most_held // 2:
+                    key, kind, n = held[0]
+                    yield rows(kind, key.view(np.int64), n)
+                    held, size = [], 0
+        if held:
+            key, kind, n = merged()
+            yield rows(kind, key.view(np.int64), n)
+        code = np.flatnonzero(spelling)
+        yield rows(np.full(len(code), SPELLING), code, spelling[code])
+        hashes.clear()
+        release_memory()
+
+    rows = docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    return scratch.save(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
 
 
 def assign_classes(counts: np.ndarray, shape: Shape) -> np.ndarray:
-    """A class from 1 on for each cell: cells in order of count, cut where the mass passes equal shares; frequent ones stay alone."""
+    """A class from 1 on for each entry: entries in order of count, cut where the mass passes equal shares; frequent ones stay alone."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     out, left, share = np.full(len(counts), shape.classes - 1, dtype=np.int64), float(counts.sum()), 0.0
     now, room = 1, left / (shape.classes - 1)
-    for cell in order[: int((counts > 0).sum())]:
-        if share and share + counts[cell] > room and now < shape.classes - 1:
+    for entry in order[: int((counts > 0).sum())].tolist():
+        if share and share + counts[entry] > room and now < shape.classes - 1:
             left -= share
             now, share = now + 1, 0.0
             room = left / (shape.classes - now)
-        out[cell] = now
-        share += counts[cell]
+        out[entry] = now
+        share += counts[entry]
     return out
 
 
@@ -78,16 +164,18 @@ def windows_of(c: np.ndarray, counts: np.ndarray, shape: Shape) -> np.ndarray:
     return ((outer[at - 2] * shape.classes + padded[at - 1]) * shape.classes + padded[at + 1]) * shape.groups + outer[at + 2]
 
 
-def summed(docs: DataFrame, count, size: int) -> np.ndarray:
-    """Counts of codes below `size` over all documents; `count` gives the codes of a batch of texts."""
+def summed(docs: DataFrame, make, size: int) -> np.ndarray:
+    """Counts of codes below `size` over all documents; `make()` gives what gives the codes of a batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total, count = np.zeros(size, dtype=np.int64), make()
         for batch in batches:
             total += np.bincount(count(list(raw_texts(batch))), minlength=size)
-        forget()
+        del count
         code = np.flatnonzero(total)
         yield pa.record_batch([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
+        del total, code
+        release_memory()
 
     rows = docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, dtype=np.int64)
@@ -148,49 +236,118 @@ class Network:
         return losses
 
 
+def contexts_of(hidden: np.ndarray, mass: np.ndarray, contexts: int, rounds: int = 20) -> np.ndarray:
+    """A context for each window: k-means of their hidden layers, weighted by how often they occur."""
+    centre = hidden[np.argsort(-mass, kind="stable")[:1]]
+    while len(centre) < min(contexts, len(hidden)):  # next, the window that adds most to the error
+        far = ((hidden[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1) * mass
+        centre = np.concatenate([centre, hidden[[int(far.argmax())]]])
+    for _ in range(rounds):
+        near = (-2 * hidden @ centre.T + (centre**2).sum(axis=1)).argmin(axis=1)
+        total = np.bincount(near, weights=mass, minlength=len(centre))
+        sums = np.stack([np.bincount(near, weights=mass * x, minlength=len(centre)) for x in hidden.T], axis=1)
+        centre = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-9)[:, None], centre)
+    return near
+
+
 @dataclass
 class Model:
-    """What scoring needs: classes and shares of cells, log-probabilities of classes in each window."""
+    """What scoring needs."""
 
     shape: Shape
-    classes: np.ndarray
-    share: np.ndarray
-    table: np.ndarray
+    vocabulary: np.ndarray  # hashes of words, sorted
+    classes: np.ndarray  # of entries
+    table: np.ndarray  # log p(class | window)
+    contexts: np.ndarray  # of windows
+    shares: np.ndarray  # log p(entry | class, context)
+    spelling: np.ndarray  # log p(byte | classes of the two before)
+
+    def log_probs(self, words: list[bytes], counts: np.ndarray, entries: Entries) -> np.ndarray:
+        """Of each word, given its window."""
+        entry = entries.of(words)
+        c = self.classes[entry].astype(np.int64)
+        window = windows_of(c, counts, self.shape)
+        out = self.table[window, c].astype(np.float64) + self.shares[entry, self.contexts[window]]
+        if len(rare := np.flatnonzero(entry >= len(self.vocabulary))):
+            own = [words[k] for k in rare.tolist()]
+            begin = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
+            out[rare] += np.add.reduceat(self.spelling[spelling_codes(own)].astype(np.float64), begin)
+        return out
+
+
+def spelled(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of bytes, mixed with those after one byte's class and after none, and a little of any byte."""
+    three = counts.reshape(BEHIND, BEHIND, 256).astype(float)
+    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+    p3, p2, p1 = ((x + 1e-9) / (x + 1e-9).sum(axis=-1, keepdims=True) for x in (three, two, one))
+    return np.log(0.8 * p3 + 0.15 * p2[None] + 0.04 * p1[None, None] + 0.01 / 256).astype(np.float32).ravel()
+
+
+def fit(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share: float = 1e-6, smoothing: float = 10.0, scratch: Scratch | None = None) -> Model:  # noqa: B008
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "pseudo-likelihood")
+    counted = word_counts(docs, scratch)
+    is_word = F.col("kind") < RARE
+    least = max(2.0, least_share * (counted.where(is_word).agg(F.sum("n")).first()[0] or 0))
+    frequent = counted.where(is_word & (F.col("n") >= least)).select("key", "n").toArrow()  # at most 1 / least_share rows
+    vocabulary, n = frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
+    order = np.argsort(vocabulary)
+    vocabulary, counts = vocabulary[order], np.concatenate([n[order], np.zeros(RARE, dtype=np.int64)])
+    for r in counted.where(is_word & (F.col("n") < least)).groupBy("kind").agg(F.sum("n").alias("n")).collect():  # four rows
+        counts[len(vocabulary) + r.kind] = r.n
+    letters = counted.where(F.col("kind") == SPELLING).select("key", "n").toArrow()
+    spelling = np.zeros(BEHIND * BEHIND * 256, dtype=np.int64)
+    spelling[letters["key"].to_numpy()] = letters["n"].to_numpy()
+    classes = assign_classes(counts, shape)
+    sent = spark.sparkContext.broadcast((vocabulary, classes.astype(np.uint8)))
+
+    def window_codes():
+        entries, of_class = Entries(sent.value[0]), sent.value[1]
+
+        def codes(texts: list[bytes]) -> np.ndarray:
+            words, sizes = words_of(texts)
+            c = of_class[entries.of(words)].astype(np.int64)
+            return windows_of(c, sizes, shape) * shape.classes + c
+
+        return codes
 
-    def log_probs(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        c = self.classes[cells]
-        return self.table[windows_of(c, counts, self.shape), c].astype(np.float64) + self.share[cells]
+    network = Network(shape)
+    seen = summed(docs, window_codes, shape.windows * shape.classes).reshape(-1, shape.classes)
+    network.train(seen, rounds)
+    hidden, table = (np.concatenate(x) for x in zip(*(network.forward(np.arange(a, min(a + 8192, shape.windows))) for a in range(0, shape.windows, 8192)), strict=True))
+    contexts = contexts_of(hidden, seen.sum(axis=1).astype(float), shape.contexts).astype(np.uint8)
+    placed = spark.sparkContext.broadcast(contexts)
 
+    def context_codes():
+        entries, of_class = Entries(sent.value[0]), sent.value[1]
 
-def fit(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120) -> Model:  # noqa: B008
-    spark = docs.sparkSession
-    cells = summed(docs, lambda texts: cells_of(texts)[0], 1 << CELL_BITS)
-    classes = assign_classes(cells, shape)
-    sent = spark.sparkContext.broadcast(classes.astype(np.uint8))
+        def codes(texts: list[bytes]) -> np.ndarray:
+            words, sizes = words_of(texts)
+            entry = entries.of(words)
+            return entry * shape.contexts + placed.value[windows_of(of_class[entry].astype(np.int64), sizes, shape)]
 
-    def codes(texts: list[bytes]) -> np.ndarray:
-        found, counts = cells_of(texts)
-        c = sent.value[found].astype(np.int64)
-        return windows_of(c, counts, shape) * shape.classes + c
+        return codes
 
-    network = Network(shape)
-    network.train(summed(docs, codes, shape.windows * shape.classes).reshape(-1, shape.classes), rounds)
-    table = np.concatenate([network.forward(np.arange(a, min(a + 8192, shape.windows)))[1] for a in range(0, shape.windows, 8192)])
-    mass = np.bincount(classes, weights=cells + 1, minlength=shape.classes)
-    return Model(shape, classes.astype(np.uint8), np.log((cells + 1) / mass[classes]), table)
+    found = summed(docs, context_codes, len(counts) * shape.contexts).reshape(-1, shape.contexts)
+    prior = (counts + 1) / np.bincount(classes, weights=counts + 1, minlength=shape.classes)[classes]
+    of_class = np.stack([np.bincount(classes, weights=x, minlength=shape.classes) for x in found.T], axis=1)[classes]
+    shares = np.log((found + smoothing * prior[:, None]) / (of_class + smoothing)).astype(np.float32)
+    return Model(shape, vocabulary, classes.astype(np.uint8), table, contexts, shares, spelled(spelling))
 
 
-def score_documents(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120) -> DataFrame:  # noqa: B008
+def score_documents(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share: float = 1e-6) -> DataFrame:  # noqa: B008
     """doc_id, n_words, log_prob (the sum over the text's words) and score (the mean) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, shape, rounds))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, shape, rounds, least_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        entries = Entries(model.vocabulary)
         for batch in batches:
-            cells, counts = cells_of(list(raw_texts(batch)))
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=model.log_probs(cells, counts), minlength=len(counts))
+            words, counts = words_of(list(raw_texts(batch)))
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=model.log_probs(words, counts, entries) if words else None, minlength=len(counts)).astype(np.float64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts), pa.array(total)], names=["doc_id", "n_words", "log_prob"])
-        forget()
+        del entries
+        release_memory()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -89,9 +89,9 @@ def signatures(elements: np.ndarray, counts: np.ndarray, registers: int) -> np.n
         np.minimum.at(flat, doc * registers + np.where(second == first, 0, second), value)
         live = open_rows(doc)
         elements, doc = elements[live], doc[live]
-    # parts of about 200,000 elements end where a document does, so that each document takes its steps at once
+    # parts of about 50,000 elements end where a document does, so that each document takes its steps at once
     ends = np.flatnonzero(np.diff(doc, append=-1)) + 1
-    cuts = np.unique(ends[np.searchsorted(ends, np.arange(200_000, len(elements), 200_000))]) if len(elements) else ends
+    cuts = np.unique(ends[np.searchsorted(ends, np.arange(50_000, len(elements), 50_000))]) if len(elements) else ends
     for x, d in zip(np.split(elements, cuts), np.split(doc, cuts), strict=True):
         if not len(x):
             continue
