@@ -3,12 +3,16 @@
 1. A character language model (trigrams of 64 classes of lower-case characters) is counted over all texts.
 2. Units that look disguised - digits, signs or separators among letters, letters or signs set apart,
    letters doubled or repeated - become lattices: a sign may stand for a letter or for itself, a run
-   of separators may be nothing, a run may be one or two letters. Viterbi decoding under the language
+   of separators may be nothing, a run of one letter, or of three signs or more, may be one or two letters. Viterbi decoding under the language
    model picks the restored text. Other units have one path through the lattice, themselves, and
    aren't decoded; nor, for scoring, are words with doubled letters of which no reading has a feature.
+   Units of more than `PIECE` characters are decoded in pieces that overlap by more than a word, so time
+   and memory are in proportion to the text, whatever it is.
 3. Words of the restored text, and their beginnings, are features of a logistic model. It is fitted
-   on labelled rows: of them, at most about `most_train` chosen by a hash of doc_id, and of the
-   features the `most_features` that tell most. Nothing else is sampled or bounded.
+   on labelled rows, of them on at most about `most_train` chosen by a hash of doc_id. Features are
+   all that occur in `least_docs` of these texts and whose share of toxic ones is `least_told` standard
+   errors or more from that of all; the penalty of the fit selects among them. Nothing else is
+   sampled or bounded.
 
 The score uses the text alone. Defined results: null and empty texts get the score of a text
 without features; a null doc_id is never trained on; labels that are null are left out; without
@@ -36,6 +40,9 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Log-probabilities of the channel: a sign for a letter, a sign for itself, a separator put in, a run for one letter or for two.
 AS_LETTER, AS_ITSELF, APART, RUN_ONE, RUN_TWO = -1.5, -4.0, -0.5, -0.7, -1.4
 
+#: Longer units are cut into pieces of so many characters, each of which begins so many before the end of the last.
+PIECE, OVERLAP = 128, 48
+
 _letters = r"[^\W\d_]"
 WORDS = re.compile(f"{_letters}+")
 _signs = "@$!|+(€£"
@@ -102,6 +109,12 @@ def language_model(counts: np.ndarray, weights: tuple[float, float, float] = (0.
     return np.log(weights[0] * p3 + weights[1] * p2[None] + weights[2] * (one / one.sum())[None, None]).astype(np.float32)
 
 
+def pieces_of(unit: str) -> list[str]:
+    if len(unit) <= PIECE:
+        return [unit]
+    return [unit[k : k + PIECE] for k in range(0, len(unit) - OVERLAP, PIECE - OVERLAP)]
+
+
 def separates(ch: str) -> bool:
     return not ch.isalnum() and ch not in STANDS_FOR
 
@@ -129,6 +142,9 @@ def lattice(unit: str, spaced: bool) -> list[list[tuple[int, str, float]]]:
             else:
                 here += [(k + 1, x, AS_LETTER) for x in STANDS_FOR.get(ch, "")]
                 here.append((k + 1, ch, AS_ITSELF))
+                end = k + len(unit[k:]) - len(unit[k:].lstrip(ch))
+                if end > k + 2 and (k == 0 or unit[k - 1] != ch):
+                    here += [(end, x * n, AS_LETTER + cost) for x in STANDS_FOR.get(ch, "") for n, cost in ((1, RUN_ONE), (2, RUN_TWO))]
         edges.append(here)
     return edges
 
@@ -174,6 +190,8 @@ class Decoder:
 
     def of_token(self, token: str) -> list[str]:
         """Words of a token (what stands between white space), with those that it stands for if it is disguised."""
+        if len(token) > PIECE:
+            return [w for x in pieces_of(token) for w in self.of_token(x)]
         if token.isalpha() and not REPEATED.search(token):
             return [token]
         words = WORDS.findall(token)
@@ -183,7 +201,7 @@ class Decoder:
         return words
 
     def of_spaced(self, text: str) -> list[str]:
-        return [w for m in SPACED.finditer(text) if WORDS.search(m.group()) for w in self.restored(m.group())]
+        return [w for m in SPACED.finditer(text) for x in pieces_of(m.group()) if WORDS.search(x) for w in self.restored(x)]
 
     def words(self, text: str) -> set[str]:
         """Words of a text in lower case, with those that disguised units stand for."""
@@ -288,7 +306,7 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, decay: float
     return w, float(bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_train: int = 16_000, most_features: int = 3000, least_docs: int = 4) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_train: int = 16_000, least_told: float = 2.5, least_docs: int = 4) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of `docs`. labels: doc_id, toxic."""
     spark = docs.sparkSession
     model = language_model(trigram_counts(docs))
@@ -318,18 +336,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_train: int = 16_000, most_
     if 0 < share < 1:
         seen = texts.mapInArrow(counted, "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= least_docs)
         told = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        chosen = [r.f for r in seen.orderBy(F.abs(told).desc(), "f").select("f").limit(most_features).collect()]
+        chosen = sorted(seen.where(F.abs(told) >= least_told).select("f").toArrow()["f"].to_pylist())
     place = {x: k for k, x in enumerate(chosen)}
-    picked = _Sent(spark.sparkContext.broadcast((model, dict.fromkeys(chosen, 0.0), 0.0)), f"picked-{uuid.uuid4()}")
+    picked = _Sent(spark.sparkContext.broadcast((model, place, 0.0)), f"picked-{uuid.uuid4()}")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = picked.scorer()
         for batch in batches:
-            yield pa.record_batch([batch.column("toxic"), pa.array([sorted(scorer.features(x or "")) for x in batch.column("text").to_pylist()], type=pa.list_(pa.string()))], names=["toxic", "features"])
+            found = [sorted(map(scorer.weights.__getitem__, scorer.features(x or ""))) for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("toxic"), pa.array(found, type=pa.list_(pa.int32()))], names=["toxic", "features"])
 
     weights, bias = {}, 0.0
     if chosen:
-        rows = sorted((tuple(place[x] for x in r.features), int(bool(r.toxic))) for r in texts.mapInArrow(rows_of, "toxic int, features array<string>").collect())
+        rows = texts.mapInArrow(rows_of, "toxic int, features array<int>").toArrow()  # at most about most_train rows of numbers
+        rows = sorted(zip(map(tuple, rows["features"].to_pylist()), (int(bool(x)) for x in rows["toxic"].to_pylist()), strict=True))
         w, bias = fit_logistic([list(x) for x, _ in rows], np.array([y for _, y in rows], dtype=float), len(chosen))
         weights = dict(zip(chosen, w.tolist(), strict=True))
     fitted = _Sent(spark.sparkContext.broadcast((model, weights, bias)), f"fitted-{uuid.uuid4()}")

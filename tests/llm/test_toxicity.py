@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,7 +39,7 @@ def test_disguised_words_are_restored(model, text):
 
 @pytest.mark.parametrize(
     "text",
-    ["1 d 1 0 t", "s t u p 1 d", "i d i 0 t", "i/d/i/o/t", "i  d  i  o  t", "i\u00a0d\u00a0i\u00a0o\u00a0t", "i - d - i - o - t", "i.d-i_o*t", "st-up-id", "stu.pid", "lo_ser", "st-up-1d.", "iiddiioott", "ssttuuppiidd", "iddiot", "l0sser"],
+    ["1 d 1 0 t", "s t u p 1 d", "i d i 0 t", "i/d/i/o/t", "i  d  i  o  t", "i\u00a0d\u00a0i\u00a0o\u00a0t", "i - d - i - o - t", "i.d-i_o*t", "st-up-id", "stu.pid", "lo_ser", "st-up-1d.", "iiddiioott", "ssttuuppiidd", "iddiot", "l0sser", "s.t.u.p.1.d", "stup111d", "1d1000t", "lo$$$er"],
 )
 def test_mixed_disguises_are_restored(model, text):
     assert set(BAD) & Decoder(model).words(text)
@@ -75,7 +76,7 @@ def best_path(model, unit, spaced):
     return best[1]
 
 
-@pytest.mark.parametrize(("unit", "spaced"), [("1d10t", False), ("s1lly", False), ("wwww4t", False), ("l 0 s e r", True), ("a1!|0", False)])
+@pytest.mark.parametrize(("unit", "spaced"), [("1d10t", False), ("s1lly", False), ("wwww4t", False), ("l 0 s e r", True), ("a1!|0", False), ("a$$$le", False), ("t00011", True)])
 def test_viterbi_finds_the_best_path(model, unit, spaced):
     assert Decoder(model).decode(unit, spaced) == best_path(model, unit, spaced)
 
@@ -102,6 +103,31 @@ def test_held_out_accuracy(spark):
     assert len(got) == len(rows)
 
 
+def test_disguises_in_long_texts_without_spaces(model):
+    """Time in proportion to the text, and what is hidden in it is found."""
+    rng = random.Random(1)
+    scorer = Scorer(model, dict.fromkeys(BAD, 1.0), 0.0)
+    base = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for text in ("," * 1_000_000, "a,b1" * 100_000, base("\u4e2d\u6587\u5b57\u7b26", 1_000_000), "ab" * 300_000, "a," * 200_000, "zz" * 100_000):
+        began = time.process_time()
+        scorer.features(text)
+        assert time.process_time() - began < 60
+    for hidden in ("1d10t", "stup1d"):
+        assert scorer.features(base(",;:", 5000) + hidden + base(",;:", 5000))
+    letters = ", ".join("bcdfg"[k % 5] for k in range(4000))
+    assert scorer.features(f"{letters}\nsuch a garden s t u p i d garden {letters}")
+
+
+def test_combined_disguises_through_the_query(spark):
+    rows, labels = corpus()
+    hidden = ["1 d 1 0 t", "s.t.u.p.1.d", "l-0-s-e-r", "ssttuuppiidd", "stup111d", "p4thet1c"]
+    rows += [(9000 + k, f"the {GOOD[k]} is for an {x} of {GOOD[-k]}", None, None, None) for k, x in enumerate(hidden)]
+    rows += [(9100 + k, "," * 50_000 + GOOD[k], None, None, None) for k in range(2)]
+    got = {r.doc_id: r.predicted for r in toxicity(table(spark, rows).repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[9000 + k] for k in range(len(hidden))] == [1] * len(hidden)
+    assert [got[9100], got[9101]] == [0, 0]
+
+
 def test_unhappy_tables(spark):
     labels = spark.createDataFrame([(10, 1), (10, 0), (11, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity(table(spark, awkward(), True), labels).collect()
