@@ -8,8 +8,9 @@ position; their spans are merged in each document.
 
 Only words that some phrase holds get an id. Runs of such words that are shorter than the shortest
 phrase cannot hold one, so they are left out of the index; nothing else is, so no occurrence is
-lost. Items are taken in blocks of at most `block_bytes` of text, each a pass over the documents,
-so what is sent to the executors is bounded whatever the benchmark's size.
+lost. Items are taken in blocks of about `block_bytes` of text, each a pass over the documents, so what
+is sent to the executors is bounded whatever the benchmark's size; with several blocks, documents are
+numbered in a table first, and what the blocks find is joined by that number.
 
 Defined results: null texts have no words; items without words have no phrase; an item_id that
 occurs twice counts once; a null item_id is named as an empty string; an empty benchmark hits
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import concat_ranges, raw_texts
+from tessel.llm.common import Scratch, concat_ranges, raw_texts
 
 LENGTH = 13
 #: A-Z to a-z; other ASCII but digits and letters to a space; all other bytes as they are.
@@ -267,13 +268,15 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20, shard_words: int = 1 << 19, shard_docs: int = 2048) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, block_bytes: int = 4 << 20, shard_words: int = 1 << 19, shard_docs: int = 2048, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, spans (of words), offsets (of code points, for removal) and items (sorted) of each document."""
     spark = docs.sparkSession
     texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if blocks > 1:  # a number that is the same for all blocks
+        rows = (scratch or Scratch(spark, "decontamination")).save(rows, "numbered")
     found = None
     for k in range(blocks):
         block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
