@@ -3,7 +3,7 @@
 Each problem has four roles: A updates the pivot block from itself, B the pivot row, C the pivot
 column, D the rest. The iterative form loops over the pivot index and lets numpy do the plane; the
 tiled form cuts a block into r x r tiles until they have at most `base` rows, for blocks that
-don't fit a cache. Both give the same results.
+don't fit a cache. Both give the same results, but for the order in which products are summed.
 """
 
 from __future__ import annotations
@@ -77,11 +77,11 @@ def lu(x: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
         for at, k in enumerate(parts):
             lu(x[k, k], how)
             for j in parts[at + 1 :]:
-                solve_lower(x[k, k], x[k, j])
-                solve_upper(x[k, k], x[j, k])
+                solve_lower(x[k, k], x[k, j], how)
+                solve_upper(x[k, k], x[j, k], how)
             for i in parts[at + 1 :]:
                 for j in parts[at + 1 :]:
-                    x[i, j] -= x[i, k] @ x[k, j]
+                    subtract(x[i, j], x[i, k], x[k, j], how)
     else:
         for k in range(len(x) - 1):
             if x[k, k] == 0:
@@ -91,15 +91,43 @@ def lu(x: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
     return x
 
 
-def solve_lower(factors: np.ndarray, x: np.ndarray) -> np.ndarray:
+def subtract(x: np.ndarray, u: np.ndarray, v: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
+    """x = x - u v, for rectangular blocks."""
+    if how.cut(*x.shape, u.shape[1]):
+        for k in tiles(u.shape[1], how.r):
+            for i in tiles(x.shape[0], how.r):
+                for j in tiles(x.shape[1], how.r):
+                    subtract(x[i, j], u[i, k], v[k, j], how)
+    else:
+        x -= u @ v
+    return x
+
+
+def solve_lower(factors: np.ndarray, x: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
     """x = L^-1 x, with L's unit diagonal implied."""
-    for k in range(len(factors) - 1):
-        x[k + 1 :] -= np.outer(factors[k + 1 :, k], x[k])
+    if how.cut(*factors.shape, x.shape[1]):
+        parts = tiles(len(factors), how.r)
+        for j in tiles(x.shape[1], how.r):
+            for at, k in enumerate(parts):
+                solve_lower(factors[k, k], x[k, j], how)
+                for i in parts[at + 1 :]:
+                    subtract(x[i, j], factors[i, k], x[k, j], how)
+    else:
+        for k in range(len(factors) - 1):
+            x[k + 1 :] -= np.outer(factors[k + 1 :, k], x[k])
     return x
 
 
-def solve_upper(factors: np.ndarray, x: np.ndarray) -> np.ndarray:
+def solve_upper(factors: np.ndarray, x: np.ndarray, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
     """x = x U^-1."""
+    if how.cut(*factors.shape, len(x)):
+        parts = tiles(len(factors), how.r)
+        for i in tiles(len(x), how.r):
+            for at, k in enumerate(parts):
+                solve_upper(factors[k, k], x[i, k], how)
+                for j in parts[at + 1 :]:
+                    subtract(x[i, j], x[i, k], factors[k, j], how)
+        return x
     for k in range(len(factors)):
         if factors[k, k] == 0:
             raise ZeroDivisionError("a pivot is zero; elimination without pivoting can't go on")
@@ -138,12 +166,27 @@ def contact_weight(protein: np.ndarray) -> Weight:
     return weight
 
 
-def fold(x: np.ndarray, i0: int, j0: int, u: np.ndarray, u0: int, k0: int, n: int, weight: Weight) -> np.ndarray:
+def fold(x: np.ndarray, i0: int, j0: int, u: np.ndarray, u0: int, k0: int, n: int, weight: Weight, how: Tiling = Tiling()) -> np.ndarray:  # noqa: B008
     """Accordion folding: cells (i, j) of x against columns k of u, in descending order.
 
     x holds rows from i0 and columns from j0; u holds rows j+1 from u0 on, and columns from k0.
     u may be x itself: a column is final once all k two above it have been applied.
     """
+    if u is x and how.cut(x.shape[1]):
+        parts = tiles(x.shape[1], how.r)
+        for at in range(len(parts) - 1, -1, -1):
+            k = parts[at]
+            own = x[:, k]
+            fold(own, i0, j0 + k.start, own, u0, k0 + k.start, n, weight, how)
+            for j in parts[:at]:  # these columns are final now
+                fold(x[:, j], i0, j0 + j.start, own, u0, k0 + k.start, n, weight, how)
+        return x
+    if u is not x and how.cut(*x.shape, u.shape[1]):
+        for k in tiles(u.shape[1], how.r):
+            for i in tiles(x.shape[0], how.r):
+                for j in tiles(x.shape[1], how.r):
+                    fold(x[i, j], i0 + i.start, j0 + j.start, u[:, k], u0, k0 + k.start, n, weight, how)
+        return x
     i, j = i0 + np.arange(x.shape[0])[:, None], j0 + np.arange(x.shape[1])[None, :]
     inside = (j >= i + 1) & (j <= n - 3) & (i <= n - 4)
     at = j[0] + 1 - u0

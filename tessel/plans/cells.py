@@ -16,19 +16,26 @@ def minplus_step(one: DataFrame, two: DataFrame) -> DataFrame:
     return a.join(b, "m").groupBy("i", "j").agg(F.min(F.col("x") + F.col("y")).alias("v"))
 
 
-def closure_cells(cells: DataFrame) -> DataFrame:
-    """Shortest paths by squaring; cells must hold the diagonal. Ends when a squaring changes nothing, or shows a negative cycle."""
-    scratch, step = Scratch(cells.sparkSession, "closure"), 0
+def closure_cells(cells: DataFrame, n: int) -> DataFrame:
+    """Shortest paths among n vertices by squaring; cells must hold the diagonal.
+
+    Ends after as many squarings as paths of n steps need, at the latest; before that when a squaring
+    changes no cell (known by a sum over hashes of all cells, as sums of values can hide a change), or
+    shows a negative cycle.
+    """
+    scratch, most = Scratch(cells.sparkSession, "closure"), max(1, n).bit_length()
     now, state = scratch.save(cells, "step0"), None
-    while True:
-        new = now.agg(F.count("*"), F.sum("v"), F.min(F.when(F.col("i") == F.col("j"), F.col("v")))).first()
+    for step in range(most + 1):
+        if step:
+            now = scratch.save(minplus_step(now, now), f"step{step}")
+            scratch.drop(f"step{step - 1}")
+        new = now.agg(F.count("*"), F.sum(F.xxhash64("i", "j", "v").cast("decimal(38,0)")), F.min(F.when(F.col("i") == F.col("j"), F.col("v")))).first()
         if new[2] is not None and new[2] < 0:
             raise ValueError("the graph has a negative cycle")
         if new == state:
-            return now
-        state, step = new, step + 1
-        now = scratch.save(minplus_step(now, now), f"step{step}")
-        scratch.drop(f"step{step - 1}")
+            break
+        state = new
+    return now
 
 
 def eliminate_cells(cells: DataFrame, n: int) -> DataFrame:

@@ -84,6 +84,11 @@ VALUES = """WITH c AS (SELECT a.range::INT AS i, b.range::INT AS j, (a.range * 7
 m AS (SELECT i, j, x * 48271 % 2147483647 * 69621 % 2147483647 AS x FROM c)
 SELECT 'graph' AS kind, i, j, 1 + (x % 9001) / 1000 AS v FROM m WHERE i <> j
 UNION ALL SELECT 'matrix', i, j, 1 + (x % 9901) / 100 + CASE WHEN i = j THEN 4040.0::DOUBLE ELSE 0.0::DOUBLE END FROM m UNION ALL SELECT 'folding', i, j, 0.0::DOUBLE FROM m WHERE i <= j"""
+SEQUENCES = """WITH c AS (SELECT range::INT AS pos, seed, (range * 7919 + seed * 1299709 + 12345) % 2147483647 AS x FROM range(1, 61) CROSS JOIN (SELECT unnest([30, 31]) AS seed))
+SELECT pos, seed, substring('ABCD', ((x * 48271 % 2147483647 * 69621 % 2147483647) % 4)::INT + 1, 1) AS ch FROM c"""
+PRINTED = f"""WITH {EDGES}, top AS (SELECT max(j) AS m FROM edges), a AS (SELECT DISTINCT i FROM edges),
+places AS (SELECT i, unnest(range(m + 1))::INT AS j FROM a, top)
+SELECT i, string_agg(coalesce(v::VARCHAR, '-'), ' ' ORDER BY j) AS line FROM places LEFT JOIN edges USING (i, j) GROUP BY i"""
 STAGES = f"""WITH {BLOCKS.format(r=6)}, k AS (SELECT range::INT AS k FROM range(6)),
 roles AS (SELECT 'fw' AS problem, k, CASE WHEN bi = k AND bj = k THEN 'A' WHEN bi = k THEN 'B' WHEN bj = k THEN 'C' ELSE 'D' END AS role FROM blocks, k
 UNION ALL SELECT 'ge', k, CASE WHEN bi < k OR bj < k THEN 'DONE' WHEN bi = k AND bj = k THEN 'A' WHEN bi = k THEN 'B' WHEN bj = k THEN 'C' ELSE 'D' END FROM blocks, k
@@ -94,6 +99,7 @@ UNION ALL SELECT 'ge', range::INT, 2 * (5 - range), 2 * (5 - range) * (5 - range
 
 SQL = {
     **dict.fromkeys(("fw_apsp_auto", "fw_apsp_cells", "fw_apsp_shuffle", "fw_apsp_broadcast", "fw_apsp_tiled", "fw_apsp_md", "fw_apsp_cus", "sink_roundtrip"), FW),
+    "fw_apsp_double": closed("SELECT i, j, v / 7 AS v FROM edges").replace("SELECT i, j, v FROM d5", "SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM d5"),
     "fw_minplus_step": MINPLUS,
     "fw_region_closure": REGION,
     **dict.fromkeys(("ge_upper_cells", "ge_upper_shuffle", "ge_upper_broadcast", "ge_upper_tiled"), UPPER),
@@ -102,17 +108,20 @@ SQL = {
     "ge_gram_det": eliminated(GRAM, DET),
     "ge_solve": SOLVE,
     "ge_literal_triu": LITERAL,
-    **dict.fromkeys(("paf_stub_cells", "paf_stub_shuffle", "paf_stub_broadcast"), f"{STUB} SELECT i, j, v FROM folded"),
-    **dict.fromkeys(("paf_contact_cells", "paf_contact_shuffle", "paf_contact_broadcast"), f"{REAL} SELECT i, j, v FROM folded"),
+    **dict.fromkeys(("paf_stub_cells", "paf_stub_shuffle", "paf_stub_broadcast", "paf_stub_tiled"), f"{STUB} SELECT i, j, v FROM folded"),
+    **dict.fromkeys(("paf_contact_cells", "paf_contact_shuffle", "paf_contact_broadcast", "paf_contact_tiled"), f"{REAL} SELECT i, j, v FROM folded"),
     "paf_contact_matrix": f"WITH {CHAIN}, {CONTACT} SELECT j, k, c FROM contact",
     "paf_score": f"{REAL} SELECT max(v) AS score FROM folded WHERE i = 0",
     "gap_align": f"{ALIGN} SELECT i, j, v FROM aligned",
     "gap_cost": f"{ALIGN} SELECT arg_max(v, (i, j)) AS cost FROM aligned",
+    "part_ph": f"WITH {BLOCKS.format(r=7)} SELECT bi, bj, 2::BIGINT AS n, 1::BIGINT AS parts, true AS inside FROM blocks",
     "part_md": MD,
     "part_cus": CUS,
     "src_square": SQUARE,
     "src_upper": f"{SQUARE} WHERE x.b <= y.b",
     "src_values": VALUES,
+    "src_sequences": SEQUENCES,
+    "sink_matrix": PRINTED,
     "stage_census": STAGES,
     "fanout_census": FANOUT,
 }

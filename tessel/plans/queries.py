@@ -107,7 +107,9 @@ def placed(placement: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         keys = block_keys(spark, grid).select("bi", "bj")
         if placement == "ph":
-            return place(keys, "ph", 5, grid).withColumn("part", F.spark_partition_id())
+            # Spark's hash isn't part of the result: keys stay whole, and equal ones are in one of the partitions
+            both = place(keys.unionByName(keys), "ph", 5, grid).withColumn("part", F.spark_partition_id())
+            return both.groupBy("bi", "bj").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), (F.max("part") < 5).alias("inside"))
         number = diagonal_major(grid.r, F.col("bi"), F.col("bj")) if placement == "md" else executor_grid(grid.r, 9, F.col("bi"), F.col("bj"))
         return place(keys, placement, 64, grid, 9).select("bi", "bj", number.alias("number"), F.spark_partition_id().alias("part"))
 
@@ -118,6 +120,20 @@ def census(upper: bool) -> Query:
     return lambda spark, sf: inputs.block_census(spark, 50, 6, upper)
 
 
+def double_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Over weights that aren't whole, by squaring cells."""
+    edges = inputs.nation_edges(spark, sf).withColumn("w", F.col("w") / 7)
+    return rounded(solve.shortest_paths(edges, nations(spark, sf), SolveOptions(strategy="cells")))
+
+
+def sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.random_sequence(spark, 60, 30).withColumn("seed", F.lit(30)).unionByName(inputs.random_sequence(spark, 60, 31).withColumn("seed", F.lit(31)))
+
+
+def printed(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.matrix_rows(inputs.nation_edges(spark, sf).toDF("i", "j", "v"))
+
+
 def values(spark: SparkSession, sf: str) -> DataFrame:
     kinds = [inputs.random_cells(spark, 40, kind).select(F.lit(kind).alias("kind"), "i", "j", "v") for kind in ("graph", "matrix", "folding")]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
@@ -157,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "fw_apsp_tiled": distances(kernel="tiled", base_size=3, r_shared=3, grid=3),
     "fw_apsp_md": distances(placement="md", partitions=6, grid=4),
     "fw_apsp_cus": distances(placement="cus", partitions=4, nodes=4, persist="disk", grid=3),
+    "fw_apsp_double": double_distances,
     "fw_minplus_step": minplus,
     "fw_region_closure": region_closure,
     "ge_upper_cells": upper(strategy="cells"),
@@ -171,6 +188,8 @@ QUERIES: dict[str, Query] = {
     "paf_stub_cells": folded(False, strategy="cells"),
     "paf_stub_shuffle": folded(False, strategy="shuffle", grid=4),
     "paf_stub_broadcast": folded(False, grid=5),
+    "paf_stub_tiled": folded(False, kernel="tiled", base_size=5, r_shared=3, grid=2),
+    "paf_contact_tiled": folded(True, kernel="tiled", base_size=4, r_shared=2, grid=3),
     "paf_contact_cells": folded(True, strategy="cells"),
     "paf_contact_shuffle": folded(True, strategy="shuffle", grid=3),
     "paf_contact_broadcast": folded(True, grid=4),
@@ -184,6 +203,8 @@ QUERIES: dict[str, Query] = {
     "src_square": census(False),
     "src_upper": census(True),
     "src_values": values,
+    "src_sequences": sequences,
+    "sink_matrix": printed,
     "stage_census": stages,
     "fanout_census": fanout,
     "sink_roundtrip": roundtrip,

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessel.functions.grid import Grid
-from tessel.functions.kernels import Tiling, Weight, closure, fold, lu, minplus, solve_lower, solve_upper
+from tessel.functions.kernels import Tiling, Weight, closure, fold, lu, minplus, solve_lower, solve_upper, subtract
 
 
 @dataclass(frozen=True)
@@ -61,22 +61,18 @@ def elimination(how: Tiling = Tiling()) -> Recurrence:  # noqa: B008
         i, j = F.col("bi"), F.col("bj")
         return {"A": (i == k) & (j == k), "B": (i == k) & (j > k), "C": (i > k) & (j == k), "D": (i > k) & (j > k)}
 
-    def subtract(x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        x -= u @ v
-        return x
-
     def kernels(grid: Grid, k: int) -> dict:
         return {
             "A": lambda bi, bj, x: lu(x, how),
-            "B": lambda bi, bj, x, a: solve_lower(a, x),
-            "C": lambda bi, bj, x, a: solve_upper(a, x),
-            "D": lambda bi, bj, x, u, v: subtract(x, u, v),
+            "B": lambda bi, bj, x, a: solve_lower(a, x, how),
+            "C": lambda bi, bj, x, a: solve_upper(a, x, how),
+            "D": lambda bi, bj, x, u, v: subtract(x, u, v, how),
         }
 
     return Recurrence("ge", 0.0, None, False, False, roles, kernels)
 
 
-def folding(weight: Weight) -> Recurrence:
+def folding(weight: Weight, how: Tiling = Tiling()) -> Recurrence:  # noqa: B008
     """Protein accordion folding: S[i][j] = max(S[i][j], S[j+1][k] + F[j+1][min(k, 2j-i+1)]), k descending.
 
     D needs rows j + 1, so besides block (bj, k) it takes the first row of the block below that.
@@ -90,11 +86,11 @@ def folding(weight: Weight) -> Recurrence:
         b = grid.block
 
         def d(bi: int, bj: int, x: np.ndarray, u: np.ndarray, halo: np.ndarray) -> np.ndarray:
-            return fold(x, bi * b, bj * b, np.vstack([u, halo[:1]]), bj * b, k * b, grid.n, weight)
+            return fold(x, bi * b, bj * b, np.vstack([u, halo[:1]]), bj * b, k * b, grid.n, weight, how)
 
         return {
-            "A": lambda bi, bj, x: fold(x, bi * b, bj * b, x, bi * b, k * b, grid.n, weight),
-            "B": lambda bi, bj, x, a: fold(x, bi * b, bj * b, a, k * b, k * b, grid.n, weight),
+            "A": lambda bi, bj, x: fold(x, bi * b, bj * b, x, bi * b, k * b, grid.n, weight, how),
+            "B": lambda bi, bj, x, a: fold(x, bi * b, bj * b, a, k * b, k * b, grid.n, weight, how),
             "D": d,
         }
 

@@ -51,7 +51,7 @@ def shortest_paths(edges: DataFrame, n: int | None = None, options: SolveOptions
     own = cells.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0).cast(kind).alias("v"))
     cells = cells.where("i <> j")
     if options.strategy == "cells":
-        return closure_cells(cells.unionByName(own)).select("i", "j", "v")
+        return closure_cells(cells.unionByName(own), n).select("i", "j", "v")
     grid, rule = options.grid_of(n), recurrence.shortest_paths(options.tiling)
     found = to_cells(run_pivots(to_blocks(cells, grid, rule.missing, rule.diagonal), rule, grid, options), grid)
     if not found.where("i = j and v < 0").isEmpty():
@@ -119,7 +119,7 @@ def fold_protein(spark: SparkSession, n: int, chain: DataFrame | None = None, op
     else:
         rows = sorted(chain.collect())  # one small number for each of the table's n rows
         weight = contact_weight(np.array([r.h for r in rows]))
-    grid, rule = options.grid_of(n), recurrence.folding(weight)
+    grid, rule = options.grid_of(n), recurrence.folding(weight, options.tiling)
     keys = block_keys(spark, grid, upper=True)
     blocks = keys.select("*", F.array_repeat(F.lit(0.0), F.col("rows") * F.col("cols")).alias("data"))
     return to_cells(run_pivots(blocks, rule, grid, options), grid).where("i <= j")
@@ -151,6 +151,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--input", help="edges (src, dst, w), cells (i, j, v), a chain (pos, h) or a sequence (pos, ch); generated without it")
     p.add_argument("--second", help="the other sequence, for gap")
     p.add_argument("--output", help="Parquet folder for the result; without it the result is counted")
+    p.add_argument("--print", action="store_true", help="print the table, a line for each row")
     p.add_argument("--event-log", help="folder for Spark's event log")
     a = p.parse_args(args)
     logging.basicConfig(level=logging.INFO)
@@ -159,8 +160,8 @@ def main(args: list[str] | None = None) -> None:
     if a.event_log:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.event_log)
     spark = builder.getOrCreate()
-    if not a.input and a.n is None or a.problem == "gap" and not (a.input and a.second):
-        p.error("give --input, or --n for generated input; gap needs --input and --second")
+    if not a.input and a.n is None or a.problem == "gap" and bool(a.input) != bool(a.second):
+        p.error("give --input, or --n for generated input; gap takes --input and --second, or neither")
     began = time.monotonic()
     given = spark.read.parquet(a.input) if a.input else None
     if a.problem == "fw":
@@ -171,10 +172,14 @@ def main(args: list[str] | None = None) -> None:
     elif a.problem == "paf":
         out = fold_protein(spark, a.n or given.count(), given, options)
     else:
-        out = align_cells(given, spark.read.parquet(a.second), options)
+        pair = (given, spark.read.parquet(a.second)) if a.input else (inputs.random_sequence(spark, a.n, 30), inputs.random_sequence(spark, a.n, 31))
+        out = align_cells(*pair, options)
+    if a.print:
+        for row in inputs.matrix_rows(out).orderBy("i").toLocalIterator():
+            print(row.line)
     if a.output:
         inputs.write(out, a.output)
-    else:
+    elif not a.print:
         log.info("cells: %d", out.count())
     log.info("time to solution: %.3f s", time.monotonic() - began)
 

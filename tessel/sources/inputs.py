@@ -32,6 +32,12 @@ def random_cells(spark: SparkSession, n: int, kind: str, seed: int = 30) -> Data
     raise ValueError(f"kind is graph, matrix or folding, not {kind!r}")
 
 
+def random_sequence(spark: SparkSession, n: int, seed: int, letters: str = "ABCD") -> DataFrame:
+    """pos, ch: a sequence of n letters; places count from 1."""
+    place = mixed(F.col("id"), F.lit(0), seed, len(letters))
+    return spark.range(1, n + 1).select(F.col("id").cast("int").alias("pos"), F.substring(F.lit(letters), place.cast("int") + 1, F.lit(1)).alias("ch"))
+
+
 def block_census(spark: SparkSession, n: int, r: int, upper: bool = False) -> DataFrame:
     """bi, bj and the number of cells of each block, counted from the indices."""
     grid = Grid(n, r)
@@ -111,6 +117,13 @@ def edges_from(spark: SparkSession, path: str, source_format: str = "parquet", *
     return spark.read.format(source_format).options(**options).load(path).select(F.col("src").cast("int"), F.col("dst").cast("int"), "w")
 
 
+def matrix_rows(cells: DataFrame, missing: str = "-") -> DataFrame:
+    """i, line: the values of each row of a table in order of their columns; `missing` where there is no cell."""
+    high = cells.agg(F.max("j")).first()[0] or 0
+    row = cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("v").cast("string")))).alias("m"))
+    return row.select("i", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(high)), lambda j: F.coalesce(F.col("m")[j], F.lit(missing))), " ").alias("line"))
+
+
 def write(df: DataFrame, path: str, sink_format: str = "parquet", mode: str = "errorifexists") -> None:
     """Cells, blocks or edges to a file; text takes one line a row, as JSON."""
     if sink_format == "text":

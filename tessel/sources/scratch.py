@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this process only where none is named, as in tests."""
+    """The folder named in spark.checkpoint.dir; one of this machine only where none is named and all runs here, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tessel-"))
         named = _own[0]

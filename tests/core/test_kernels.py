@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessel.functions.grid import Grid
-from tessel.functions.kernels import Tiling, closure, contact_weight, fold, lu, minplus, solve_lower, solve_upper, stub_weight
+from tessel.functions.kernels import Tiling, closure, contact_weight, fold, lu, minplus, solve_lower, solve_upper, stub_weight, subtract
 
 TILINGS = [Tiling(), Tiling(True, 2, 1), Tiling(True, 3, 2), Tiling(True, 4, 5)]
 
@@ -103,3 +103,26 @@ def test_bad_grids_and_tilings():
     for make in (lambda: Grid(0, 1), lambda: Grid(3, 0), lambda: Tiling(True, 1, 4)):
         with pytest.raises(ValueError):
             make()
+
+
+@pytest.mark.parametrize(("r", "base"), [(2, 3), (3, 4), (4, 1)])
+def test_tiled_solves_and_products(r, base):
+    rng, how = np.random.default_rng(r), Tiling(True, r, base)
+    factors = lu(rng.random((19, 19)) + 20 * np.eye(19))
+    x, y, u, v = rng.random((19, 11)), rng.random((7, 19)), rng.random((13, 17)), rng.random((17, 9))
+    assert np.allclose(solve_lower(factors, x.copy(), how), solve_lower(factors, x.copy()))
+    assert np.allclose(solve_upper(factors, y.copy(), how), solve_upper(factors, y.copy()))
+    z = rng.random((13, 9))
+    assert np.allclose(subtract(z.copy(), u, v, how), z - u @ v)
+    assert np.allclose(lu(np.eye(19) * 30 + np.arange(361).reshape(19, 19) / 361, how), lu(np.eye(19) * 30 + np.arange(361).reshape(19, 19) / 361))
+
+
+@pytest.mark.parametrize(("r", "base"), [(2, 3), (3, 4), (5, 1)])
+def test_tiled_folding(r, base):
+    n, how = 26, Tiling(True, r, base)
+    weight = contact_weight(np.random.default_rng(r).integers(0, 2, n))
+    for w in (weight, stub_weight):
+        one, two = np.zeros((n, n)), np.zeros((n, n))
+        assert (fold(one, 0, 0, one, 0, 0, n, w) == fold(two, 0, 0, two, 0, 0, n, w, how)).all()
+        x, u = np.random.default_rng(1).random((9, 8)), np.random.default_rng(2).random((9, 10))
+        assert (fold(x.copy(), 3, 6, u, 7, 14, n, w) == fold(x.copy(), 3, 6, u, 7, 14, n, w, how)).all()

@@ -198,3 +198,39 @@ def test_a_stream_of_edges(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out/{k}").count() > 0
     got = {(r.i, r.j): r.v for r in spark.read.parquet(f"{tmp_path}/out/2").collect()}
     assert (got[0, 2], got[2, 1], got[1, 0], len(got)) == (6, 3, 5, 9)
+
+
+def test_squaring_doubles_of_unlike_sizes(spark):
+    """A sum over all cells would hide small changes beside the large weights."""
+    chain = [(k, k + 1, 0.5) for k in range(7)]
+    edges = spark.createDataFrame([*chain, (2, 5, 9.0), (0, 8, 1e17), (8, 0, 1e17)], "src int, dst int, w double")
+    got = {(r.i, r.j): r.v for r in solve.shortest_paths(edges, 9, SolveOptions(strategy="cells")).collect()}
+    assert got == {(r.i, r.j): r.v for r in solve.shortest_paths(edges, 9, SolveOptions(grid=3)).collect()}
+    assert got[2, 5] == 1.5
+
+
+def test_generated_sequences_and_printed_rows(spark, tmp_path, capsys):
+    from tessel.plans.solve import main
+    from tessel.sources.inputs import matrix_rows, random_sequence
+
+    assert [r.ch for r in random_sequence(spark, 9, 30).orderBy("pos").collect()] == [r.ch for r in random_sequence(spark, 9, 30).repartition(5).orderBy("pos").collect()]
+    assert {r.ch for r in random_sequence(spark, 200, 5).collect()} == set("ABCD")
+    cells = spark.createDataFrame([(0, 0, 1), (0, 2, 3), (2, 1, 5)], "i int, j int, v int")
+    assert {(r.i, r.line) for r in matrix_rows(cells).collect()} == {(0, "1 - 3"), (2, "- 5 -")}
+    main(["--problem", "gap", "--n", "5", "--output", f"{tmp_path}/gap", "--print"])
+    assert spark.read.parquet(f"{tmp_path}/gap").count() == 36
+    assert len(capsys.readouterr().out.strip().splitlines()) == 6
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    from tessel.sources import scratch
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
