@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,7 +227,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch(spans_batch(x, later(x)[1]), names=["doc", "version", "start", "end"])
 
     for batch in batches:
-        at_once = batch.filter(pa.compute.less(batch.column("bucket"), 0))
+        at_once = batch.filter(pc.less(batch.column("bucket"), 0))
         if len(at_once):
             yield at_once.select(["doc", "version", "start", "end"])
         for k, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
