@@ -156,12 +156,23 @@ def later(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, np.flatnonzero(other)
 
 
+def merged(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans joined where they overlap or touch, by document."""
+    order = np.lexsort((x["start"], x["version"], x["doc"]))
+    x = {y: z[order] for y, z in x.items()}
+    apart = np.cumsum(np.concatenate([[0], (x["doc"][1:] != x["doc"][:-1]) | (x["version"][1:] != x["version"][:-1])])) << 32
+    start, reach = x["start"] + apart, np.maximum.accumulate(x["end"] + apart)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(start)) - 1
+    return {"doc": x["doc"][first], "version": x["version"][first], "start": x["start"][first], "end": reach[last] - apart[last]}
+
+
 def spans_batch(x: dict[str, np.ndarray], which: np.ndarray) -> list[pa.Array]:
     return [pa.array(x["doc"][which]), pa.array(x["version"][which]), pa.array(x["start"][which].astype(np.int32)), pa.array(x["end"][which].astype(np.int32))]
 
 
 def _gathered(least_words: int, buckets: int, flush_at: int, batch_chars: int):
-    """Texts to packed buckets of occurrences (payload), and spans that are known at once (bucket -1)."""
+    """Texts to packed buckets of occurrences (payload), and spans that are known at once (negative buckets, by document)."""
 
     def flush(parts: list[dict]) -> Iterator[pa.RecordBatch]:
         x = {y: np.concatenate([p[y] for p in parts]) for y, _ in FIELDS}
@@ -172,7 +183,9 @@ def _gathered(least_words: int, buckets: int, flush_at: int, batch_chars: int):
         first, rest = later(x)
         names = ["bucket", "payload", "doc", "version", "start", "end"]
         if len(rest):
-            yield pa.record_batch([pa.array(np.full(len(rest), -1, dtype=np.int32)), pa.nulls(len(rest), pa.binary()), *spans_batch(x, rest)], names=names)
+            found = merged({y: x[y][rest] for y in ("doc", "version", "start", "end")})
+            own = mix(found["doc"].view(np.uint64) ^ found["version"].view(np.uint64)) % np.uint64(buckets)
+            yield pa.record_batch([pa.array(-1 - own.astype(np.int32)), pa.nulls(len(own), pa.binary()), *spans_batch(found, np.arange(len(own)))], names=names)
         bucket = (x["a"][first] % np.uint64(buckets)).astype(np.int32)
         first = first[np.argsort(bucket, kind="stable")]
         found, sizes = np.unique(bucket, return_counts=True)
