@@ -32,10 +32,12 @@ def release_memory() -> None:
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
-    """UTF-8 bytes of each text; null gives empty bytes."""
+    """UTF-8 bytes of each text, or the bytes of a binary column; null gives empty bytes."""
     col = batch.column(column)
     if pa.types.is_string(col.type):
         col = col.cast(pa.large_string())
+    elif pa.types.is_binary(col.type):
+        col = col.cast(pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     data = memoryview(col.buffers()[2]) if col.buffers()[2] is not None else memoryview(b"")
     valid = None if col.null_count == 0 else np.asarray(col.is_valid())

@@ -14,9 +14,10 @@
    its spelling's log-probability: bytes, each after the classes of two bytes before, up to the end
    of the word, counted over all texts.
 
-Each task counts its own documents and sends what it found, tasks are added up by a shuffle. As
-windows are finite, the network's log-probabilities are tabulated once, and scoring looks them up.
-Places outside a text are a class of their own.
+Texts are read twice: to count words, and to write each document's entries, from which all else is
+counted. Each task counts its own documents and sends what it found, tasks are added up by a shuffle. As
+windows are finite, the network's log-probabilities are tabulated once, and scoring looks them up. Places
+outside a text are a class of their own.
 
 Defined results: null and empty texts have no words, log_prob 0 and a null score; repeated rows and
 null doc_ids are scored as they are; words are compared without ASCII letter case; an empty table
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, raw_texts, release_memory
+from tessel.llm.common import Scratch, flat_binary, raw_texts, release_memory
 from tessel.llm.superminhash import FOLD, WordHashes
 
 #: Rare words are parted by their number of bytes, at these borders.
@@ -115,10 +116,11 @@ def word_counts(docs: DataFrame, scratch: Scratch, most_held: int = 1_000_000) -
             if not words:
                 continue
             key, first, n = np.unique(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), return_index=True, return_counts=True)
-            kind = np.searchsorted(LENGTHS, [len(words[k]) for k in first.tolist()], side="right")
-            held.append([key, kind, n])
+            own = [words[k] for k in first.tolist()]
+            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            held.append([key, np.searchsorted(LENGTHS, sizes, side="right"), n])
             size += len(key)
-            spelling += np.bincount(spelling_codes(words), minlength=len(spelling))
+            spelling += np.bincount(spelling_codes(own), weights=np.repeat(n, sizes + 1), minlength=len(spelling)).astype(np.int64)
             if size > most_held:
                 held = [merged()]
                 size = len(held[0][0])
@@ -164,22 +166,54 @@ def windows_of(c: np.ndarray, counts: np.ndarray, shape: Shape) -> np.ndarray:
     return ((outer[at - 2] * shape.classes + padded[at - 1]) * shape.classes + padded[at + 1]) * shape.groups + outer[at + 2]
 
 
-def summed(docs: DataFrame, make, size: int) -> np.ndarray:
-    """Counts of codes below `size` over all documents; `make()` gives what gives the codes of a batch of texts."""
+def spelt(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
+    """The log-probability of each word's spelling, its end included."""
+    own = list(dict.fromkeys(words))
+    if not own:
+        return np.zeros(0)
+    begin = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
+    known = dict(zip(own, np.add.reduceat(spelling[spelling_codes(own)].astype(np.float64), begin).tolist(), strict=True))
+    return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
+
+
+def entered(docs: DataFrame, vocabulary, spelling, scratch: Scratch) -> DataFrame:
+    """doc_id, entries (little-endian unsigned 32-bit) and spelt (the sum over rare words) of each row. vocabulary and spelling are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = np.zeros(size, dtype=np.int64), make()
+        entries = Entries(vocabulary.value)
         for batch in batches:
-            total += np.bincount(count(list(raw_texts(batch))), minlength=size)
-        del count
+            words, counts = words_of(list(raw_texts(batch)))
+            entry = entries.of(words)
+            rare = np.flatnonzero(entry >= entries.size)
+            sums = np.bincount(np.repeat(np.arange(len(counts)), counts)[rare], weights=spelt([words[k] for k in rare.tolist()], spelling.value), minlength=len(counts))
+            yield pa.record_batch([batch.column("doc_id"), flat_binary(entry.astype("<u4").tobytes(), 4 * counts), pa.array(sums.astype(np.float64))], names=["doc_id", "entries", "spelt"])
+        entries.clear()
+        release_memory()
+
+    return scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, entries binary, spelt double"), "entries")
+
+
+def entries_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all rows one after the other, and the number of each row."""
+    own = list(raw_texts(batch, "entries"))
+    return np.frombuffer(b"".join(own), dtype="<u4").astype(np.int64), np.array([len(x) // 4 for x in own], dtype=np.int64)
+
+
+def summed(rows: DataFrame, code_of, size: int) -> np.ndarray:
+    """Counts of codes below `size` over all rows of entries; `code_of` gives the codes of a batch's entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(code_of(*entries_in(batch)), minlength=size)
         code = np.flatnonzero(total)
         yield pa.record_batch([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
         del total, code
         release_memory()
 
-    rows = docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("entries").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, dtype=np.int64)
-    total[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    total[found["code"].to_numpy()] = found["n"].to_numpy()
     return total
 
 
@@ -260,19 +294,13 @@ class Model:
     table: np.ndarray  # log p(class | window)
     contexts: np.ndarray  # of windows
     shares: np.ndarray  # log p(entry | class, context)
-    spelling: np.ndarray  # log p(byte | classes of the two before)
+    spelling: np.ndarray  # log p(byte | classes of the two before), of rare words
 
-    def log_probs(self, words: list[bytes], counts: np.ndarray, entries: Entries) -> np.ndarray:
-        """Of each word, given its window."""
-        entry = entries.of(words)
+    def log_probs(self, entry: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each entry, given its window."""
         c = self.classes[entry].astype(np.int64)
         window = windows_of(c, counts, self.shape)
-        out = self.table[window, c].astype(np.float64) + self.shares[entry, self.contexts[window]]
-        if len(rare := np.flatnonzero(entry >= len(self.vocabulary))):
-            own = [words[k] for k in rare.tolist()]
-            begin = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
-            out[rare] += np.add.reduceat(self.spelling[spelling_codes(own)].astype(np.float64), begin)
-        return out
+        return self.table[window, c].astype(np.float64) + self.shares[entry, self.contexts[window]]
 
 
 def spelled(counts: np.ndarray) -> np.ndarray:
@@ -283,7 +311,8 @@ def spelled(counts: np.ndarray) -> np.ndarray:
     return np.log(0.8 * p3 + 0.15 * p2[None] + 0.04 * p1[None, None] + 0.01 / 256).astype(np.float32).ravel()
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share: float = 1e-6, smoothing: float = 10.0, scratch: Scratch | None = None) -> Model:  # noqa: B008
+def fit(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share: float = 1e-6, smoothing: float = 10.0, scratch: Scratch | None = None) -> tuple[Model, DataFrame]:  # noqa: B008
+    """The model, and the rows of entries that it was fitted on."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "pseudo-likelihood")
     counted = word_counts(docs, scratch)
@@ -299,55 +328,42 @@ def fit(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share:
     spelling = np.zeros(BEHIND * BEHIND * 256, dtype=np.int64)
     spelling[letters["key"].to_numpy()] = letters["n"].to_numpy()
     classes = assign_classes(counts, shape)
-    sent = spark.sparkContext.broadcast((vocabulary, classes.astype(np.uint8)))
-
-    def window_codes():
-        entries, of_class = Entries(sent.value[0]), sent.value[1]
-
-        def codes(texts: list[bytes]) -> np.ndarray:
-            words, sizes = words_of(texts)
-            c = of_class[entries.of(words)].astype(np.int64)
-            return windows_of(c, sizes, shape) * shape.classes + c
+    chars = spelled(spelling)
+    rows = entered(docs, spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(chars), scratch)
+    sent = spark.sparkContext.broadcast(classes.astype(np.uint8))
 
-        return codes
+    def window_codes(entry: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        c = sent.value[entry].astype(np.int64)
+        return windows_of(c, sizes, shape) * shape.classes + c
 
     network = Network(shape)
-    seen = summed(docs, window_codes, shape.windows * shape.classes).reshape(-1, shape.classes)
+    seen = summed(rows, window_codes, shape.windows * shape.classes).reshape(-1, shape.classes)
     network.train(seen, rounds)
     hidden, table = (np.concatenate(x) for x in zip(*(network.forward(np.arange(a, min(a + 8192, shape.windows))) for a in range(0, shape.windows, 8192)), strict=True))
     contexts = contexts_of(hidden, seen.sum(axis=1).astype(float), shape.contexts).astype(np.uint8)
     placed = spark.sparkContext.broadcast(contexts)
 
-    def context_codes():
-        entries, of_class = Entries(sent.value[0]), sent.value[1]
+    def context_codes(entry: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return entry * shape.contexts + placed.value[windows_of(sent.value[entry].astype(np.int64), sizes, shape)]
 
-        def codes(texts: list[bytes]) -> np.ndarray:
-            words, sizes = words_of(texts)
-            entry = entries.of(words)
-            return entry * shape.contexts + placed.value[windows_of(of_class[entry].astype(np.int64), sizes, shape)]
-
-        return codes
-
-    found = summed(docs, context_codes, len(counts) * shape.contexts).reshape(-1, shape.contexts)
+    found = summed(rows, context_codes, len(counts) * shape.contexts).reshape(-1, shape.contexts)
     prior = (counts + 1) / np.bincount(classes, weights=counts + 1, minlength=shape.classes)[classes]
     of_class = np.stack([np.bincount(classes, weights=x, minlength=shape.classes) for x in found.T], axis=1)[classes]
     shares = np.log((found + smoothing * prior[:, None]) / (of_class + smoothing)).astype(np.float32)
-    return Model(shape, vocabulary, classes.astype(np.uint8), table, contexts, shares, spelled(spelling))
+    return Model(shape, vocabulary, classes.astype(np.uint8), table, contexts, shares, chars), rows
 
 
 def score_documents(docs: DataFrame, shape: Shape = Shape(), rounds: int = 120, least_share: float = 1e-6) -> DataFrame:  # noqa: B008
     """doc_id, n_words, log_prob (the sum over the text's words) and score (the mean) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, shape, rounds, least_share))
+    model, rows = fit(docs, shape, rounds, least_share)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        entries = Entries(model.vocabulary)
         for batch in batches:
-            words, counts = words_of(list(raw_texts(batch)))
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=model.log_probs(words, counts, entries) if words else None, minlength=len(counts)).astype(np.float64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts), pa.array(total)], names=["doc_id", "n_words", "log_prob"])
-        del entries
+            entry, counts = entries_in(batch)
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=sent.value.log_probs(entry, counts), minlength=len(counts))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(counts), pa.array(total + batch.column("spelt").to_numpy())], names=["doc_id", "n_words", "log_prob"])
         release_memory()
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double")
+    out = rows.mapInArrow(run, "doc_id long, n_words long, log_prob double")
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -7,7 +7,7 @@ import xxhash
 from cases import SCHEMA, awkward, table
 
 from tessel.llm.common import Scratch
-from tessel.llm.pseudo_likelihood import BEHIND, CLASS_OF, LENGTHS, RARE, SPELLING, Entries, Network, Shape, assign_classes, fit, score_documents, spelling_codes, windows_of, word_counts, words_of
+from tessel.llm.pseudo_likelihood import BEHIND, CLASS_OF, LENGTHS, RARE, SPELLING, Entries, Network, Shape, assign_classes, fit, score_documents, spelling_codes, spelt, windows_of, word_counts, words_of
 
 SHAPE = Shape(classes=12, groups=3, contexts=4)
 FOLDED = lambda text: (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
@@ -60,7 +60,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return fit(table(spark, corpus()), SHAPE)
+    return fit(table(spark, corpus()), SHAPE)[0]
 
 
 def of_length(word):
@@ -94,7 +94,7 @@ def slow_model(rows, share):
 def test_scores_are_sums_of_conditionals(spark, share):
     rows = corpus() + awkward()
     got = {r.doc_id: r for r in score_documents(table(spark, rows, True).repartition(3), SHAPE, rounds=5, least_share=share).collect()}
-    fitted = fit(table(spark, rows), SHAPE, rounds=5, least_share=share)
+    fitted = fit(table(spark, rows), SHAPE, rounds=5, least_share=share)[0]
     texts, frequent = slow_model(rows, share)
     assert len(fitted.vocabulary) == len(frequent)
     place = {int(h): k for k, h in enumerate(fitted.vocabulary)}
@@ -137,7 +137,8 @@ def test_probabilities_of_all_words_sum_to_one(model):
 
 def log_prob(model, text):
     words, counts = words_of([text.encode()])
-    return model.log_probs(words, counts, Entries(model.vocabulary)).sum()
+    entry = Entries(model.vocabulary).of(words)
+    return model.log_probs(entry, counts).sum() + spelt([w for w, k in zip(words, entry, strict=True) if k >= len(model.vocabulary)], model.spelling).sum()
 
 
 def test_text_scores_above_its_words_in_disorder(model):
@@ -156,7 +157,7 @@ def test_words_of_one_class_are_told_apart_by_their_windows(spark):
         own = ["x%d" % rng.randrange(40) for _ in range(10)]
         text = " ".join(f"left{k % 2} {'apple' if k % 2 else 'stone'} right{k % 2} {w}" for w in own)
         rows.append((k, text, "en", "s", 1))
-    fitted = fit(table(spark, rows), Shape(classes=4, groups=3, contexts=6))
+    fitted = fit(table(spark, rows), Shape(classes=4, groups=3, contexts=6))[0]
     for k, (mine, other) in enumerate((("stone", "apple"), ("apple", "stone"))):
         here = lambda w: log_prob(fitted, f"x1 left{k} {w} right{k} x2")  # noqa: B023, E731
         assert here(mine) > here(other) + 0.5
