@@ -85,10 +85,10 @@ class Packer:
                     window = []
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 32, waste: int = 32, group: int = 64, scratch: Scratch | None = None, kept_pieces: int = 800_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 32, waste: int = 32, group: int = 64, scratch: Scratch | None = None, kept_pieces: int = 800_000, keep: bool = True) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit) of each piece.
 
-    A worker keeps at most twice `kept_pieces` pieces of text with their ids.
+    A worker keeps at most twice `kept_pieces` pieces of text with their ids, from task to task if `keep` is set.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
@@ -126,6 +126,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
                 key += 1
                 if len(done) >= 2000:
                     yield batch_of()
+        if not keep:
+            coder.clear()
         release_memory()
         for k, window in enumerate(packer.open):
             put(window, -1 - k)  # still open
