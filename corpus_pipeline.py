@@ -85,7 +85,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with their ids."""
-    packed = pack(docs, vocabulary_path("word_bpe_49k.json"), kept_pieces=KEPT_PIECES)
+    packed = pack(docs, vocabulary_path("word_bpe_49k.json"), kept_pieces=KEPT_PIECES, keep=False)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
