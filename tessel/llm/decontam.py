@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Scratch, concat_ranges, raw_texts
+from tessel.llm.common import Scratch, concat_ranges, raw_texts, release_memory
 
 LENGTH = 13
 #: A-Z to a-z; other ASCII but digits and letters to a space; all other bytes as they are.
@@ -244,6 +244,8 @@ def _finder(sent, shard_words: int, shard_docs: int):
                     keys, names, ids, texts, size = [], [], [], [], 0
         if ids:
             yield flush()
+        keys, names, ids, texts = [], [], [], []
+        release_memory()
 
     return run
 
