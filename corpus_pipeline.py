@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Pieces of text whose ids a packing worker keeps; fewer than op5's, as the executors hold what earlier stages left.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 60_000
 #: Rows of two numbers that a stage broadcasts at most; they are counted.
 MOST_GONE = 500_000
 
