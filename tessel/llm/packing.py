@@ -88,7 +88,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 32, waste: int = 32, group: int = 64, scratch: Scratch | None = None, kept_pieces: int = 800_000, keep: bool = True) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit) of each piece.
 
-    A worker keeps at most twice `kept_pieces` pieces of text with their ids, from task to task if `keep` is set.
+    A worker keeps at most twice `kept_pieces` pieces of text with their ids, from task to task if `keep` is set;
+    without it, it also takes less text at once.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
 
         key = 0
         for batch in batches:
-            for doc_id, ids in encoded(coder, batch, end_id):
+            for doc_id, ids in encoded(coder, batch, end_id, (4 if keep else 1) << 20):
                 texts[key] = [doc_id, ids.copy(), len(ids)]
                 for window in packer.add(key, 0, len(ids)):
                     put(window, part << GROUP | sequence)

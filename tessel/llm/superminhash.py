@@ -30,7 +30,7 @@ class WordHashes(dict):
     """64-bit hashes of words; emptied when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
