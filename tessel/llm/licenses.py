@@ -8,14 +8,21 @@ least value, and the number of bands follows from that: the chance that no band
 
 Windows without any shingle of a template cannot match one and are not hashed, which changes no result.
 
+Overlapping windows that match the same template are one stretch. A stretch is parted into copies:
+once a copy holds enough of the template, a shingle that comes more often than the template has it
+begins the next one; what is left behind the last copy and is too little for one belongs to it.
+
 Defined results: null and empty texts match nothing; texts of fewer than five words are one
-shingle; templates without words are left out; overlapping windows that match the same template are
-one match; a null doc_id is reported as null; an empty table gives an empty result.
+shingle; templates without words are left out; typographic quotes, dashes and marks part words as
+ASCII marks do; repeated rows match each; a null doc_id is reported as null; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,6 +67,30 @@ TEMPLATES = {
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."
+    ),
+    "BSD-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -75,10 +106,12 @@ TEMPLATES = {
 }
 
 _hashes = WordHashes()
+#: Quotes, dashes and other marks of the block U+2010 to U+203A, and guillemets, in UTF-8.
+MARKS = re.compile(rb"\xe2\x80[\x90-\xba]|\xc2[\xab\xbb]")
 
 
 def hashes_of(text: bytes) -> np.ndarray:
-    words = text.translate(FOLD).split()
+    words = MARKS.sub(b" ", text).translate(FOLD).split()
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -91,6 +124,8 @@ class Group:
     rows: int
     names: list[str] = field(default_factory=list)
     sets: list[np.ndarray] = field(default_factory=list)
+    #: How often a template has each of its shingles.
+    often: list[Counter] = field(default_factory=list)
     table: dict[int, list[int]] = field(default_factory=dict)
 
 
@@ -123,8 +158,8 @@ def band_keys(signs: np.ndarray, rows: int) -> np.ndarray:
 class Scanner:
     def __init__(self, templates: dict[str, str], percent: int = 75, rows: int = 2, miss: float = 1e-6):
         self.percent, self.groups = percent, []
-        shingled = {name: np.unique(shingle_hashes(hashes_of(text.encode()), SHINGLE)) for name, text in templates.items()}
-        shingled = {name: x for name, x in shingled.items() if len(x)}
+        runs = {name: shingle_hashes(hashes_of(text.encode()), SHINGLE) for name, text in templates.items()}
+        shingled = {name: np.unique(x) for name, x in runs.items() if len(x)}
         self.all = np.unique(np.concatenate([*shingled.values(), np.zeros(0, dtype=np.uint64)]))
         for size in sorted({len(x).bit_length() for x in shingled.values()}):
             own = {name: x for name, x in sorted(shingled.items()) if len(x).bit_length() == size}
@@ -135,6 +170,7 @@ class Scanner:
                     group.table.setdefault(key, []).append(len(group.names))
                 group.names.append(name)
                 group.sets.append(x)
+                group.often.append(Counter(runs[name].tolist()))
             self.groups.append(group)
 
     def windows(self, n: int, marked: np.ndarray, longest: int) -> list[tuple[int, int]]:
@@ -144,6 +180,21 @@ class Scanner:
         numbers = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
         return [(int(k) * step, min(n, int(k) * step + length)) for k in numbers]
 
+    def copies(self, shingles: np.ndarray, start: int, end: int, often: Counter) -> Iterator[tuple[int, int, int]]:
+        """First word, end and percentage of each copy of a template in a stretch of shingles."""
+        found: list[tuple[int, int, Counter]] = []
+        for k in start + np.flatnonzero(np.isin(shingles[start:end], np.fromiter(often, dtype=np.uint64, count=len(often)))):
+            x = int(shingles[k])
+            if not found or found[-1][2][x] >= often[x] and 100 * len(found[-1][2]) >= self.percent * len(often):
+                found.append((int(k), 0, Counter()))
+            first, _, seen = found[-1]
+            seen[x] += 1
+            found[-1] = (first, int(k) + SHINGLE, seen)
+        if len(found) > 1 and 100 * len(found[-1][2]) < self.percent * len(often):
+            _, last, rest = found.pop()
+            found[-1] = (found[-1][0], last, found[-1][2] + rest)
+        return ((first, last, 100 * len(seen) // len(often)) for first, last, seen in found)
+
     def scan(self, text: bytes) -> list[tuple[str, int, int, int]]:
         """License, first word, number of words and percentage of each match in a text."""
         shingles = shingle_hashes(hashes_of(text), SHINGLE)
@@ -157,21 +208,18 @@ class Scanner:
             spans = self.windows(len(shingles), marked, group.longest)
             sets = [np.unique(shingles[a:b]) for a, b in spans]
             keys = band_keys(minhashes(np.concatenate(sets), np.array([len(x) for x in sets]), group.bands * group.rows), group.rows)
-            hits: dict[int, list[tuple[int, int, int]]] = {}
+            hits: dict[int, list[list[int]]] = {}
             for (a, b), x, own in zip(spans, sets, keys.tolist(), strict=True):
                 for t in sorted({t for k in own for t in group.table.get(k, ())}):
-                    share = 100 * len(np.intersect1d(x, group.sets[t], assume_unique=True)) // len(group.sets[t])
-                    if share >= self.percent:
-                        inside = a + np.flatnonzero(np.isin(shingles[a:b], group.sets[t]))
-                        hits.setdefault(t, []).append((int(inside[0]), int(inside[-1]) + SHINGLE, share))
-            for t, found in hits.items():
-                merged: list[list[int]] = []
-                for start, end, share in sorted(found):
-                    if merged and start < merged[-1][1]:
-                        merged[-1] = [merged[-1][0], max(merged[-1][1], end), max(merged[-1][2], share)]
-                    else:
-                        merged.append([start, end, share])
-                out += [(group.names[t], start, end - start, share) for start, end, share in merged]
+                    if 100 * len(np.intersect1d(x, group.sets[t], assume_unique=True)) >= self.percent * len(group.sets[t]):
+                        stretches = hits.setdefault(t, [])
+                        if stretches and a < stretches[-1][1]:
+                            stretches[-1][1] = b
+                        else:
+                            stretches.append([a, b])
+            for t, stretches in hits.items():
+                for a, b in stretches:
+                    out += [(group.names[t], start, end - start, share) for start, end, share in self.copies(shingles, a, b, group.often[t])]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 

@@ -25,6 +25,23 @@ def brute(rows, templates):
     return out
 
 
+def gridded(rows, templates):
+    """(doc_id, license) where one of the windows of the template's group holds three quarters of it: every window compared, without bands."""
+    sets = {name: set(shingles(t)) for name, t in templates.items()}
+    longest = {}
+    for x in sets.values():
+        longest[len(x).bit_length()] = max(longest.get(len(x).bit_length(), 0), len(x))
+    out = set()
+    for doc_id, text, *_ in rows:
+        s = shingles(text or "")
+        for name, want in sets.items():
+            most = longest[len(want).bit_length()]
+            starts = range(0, max(1, len(s)), max(1, most // 2))
+            if any(100 * len(want & set(s[a : a + most + most // 2])) >= 75 * len(want) for a in starts):
+                out.add((doc_id, name))
+    return out
+
+
 def corpus():
     rows = awkward()
     for k, (_, text) in enumerate(TEMPLATES.items()):
@@ -43,6 +60,7 @@ def test_matches_are_those_of_every_window(spark):
     want = brute(rows, TEMPLATES)
     assert want <= {(r.doc_id, r.license) for r in got}
     # a window is half as long again as a template, so a match may be spread a little wider
+    assert {(r.doc_id, r.license) for r in got} == gridded(rows, TEMPLATES)
     assert all(r.percent >= 75 for r in got)
     assert {(r.doc_id, r.license) for r in got if r.doc_id < 300} == set()
     first = {(r.doc_id, r.license): r.first_word for r in got}
@@ -72,3 +90,18 @@ def test_unhappy_tables(spark):
     assert Scanner({"none": " . "}).scan(b"a b c d e f") == []
     two = Scanner({"x": "only three words"})
     assert two.scan(b"only three words") == [("x", 0, 5, 100)]
+
+
+@pytest.mark.parametrize("name", list(TEMPLATES))
+@pytest.mark.parametrize("between", ["", "and then"])
+def test_copies_in_a_row_are_matches_each(name, between):
+    scanner, n = Scanner({name: TEMPLATES[name]}), len(words_of(TEMPLATES[name].encode()))
+    got = scanner.scan(f" {between} ".join([TEMPLATES[name]] * 3).encode())
+    step = n + len(between.split())
+    assert got == [(name, k * step, n, 100) for k in range(3)]
+
+
+def test_typographic_marks():
+    scanner = Scanner({"x": 'the "License" is - as we say - not ours, it\'s theirs'})
+    assert scanner.scan("the “License” is — as we say – not ours, it’s theirs".encode()) == scanner.scan(b'the "License" is - as we say - not ours, it\'s theirs')
+    assert scanner.scan("«the» ‹License› is… as we say ‐ not ours‚ it‘s theirs".encode())[0][3] == 100
