@@ -10,8 +10,8 @@ Everything is DataFrame functions; the only thing that reaches the driver is the
    rule are rejected too. A document that breaks no rule is kept whatever its host.
 
 Defined results: a null or empty text has no words and breaks the length rule; a null source is a
-host of its own; repeated rows count each; an empty table gives an empty result. Windows are
-compared by a 64-bit hash within one text.
+host of its own; rows with a null or a repeated doc_id, or equal in all, count each; an empty table
+gives an empty result. Windows are compared by a 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -92,10 +92,11 @@ def beta_prior(mean: float, spread: float, inner: float, least: float = 2.0, mos
     return mean * strength, (1 - mean) * strength
 
 
-def quality_rules(docs: DataFrame, *carry: str, most_failing: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
-    """`row` (the carried columns), host, the counts, base_failed, failed, host_strict and kept of each document."""
+def quality_rules(docs: DataFrame, *carry: str, most_failing: float = 0.5, most_hosts: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
+    """`row` (the carried columns), host, the counts, base_failed, failed, host_strict and kept of each document. Strict hosts are broadcast if they are at most `most_hosts`."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     rules = scratch.save(ruled(counted(docs, *(carry or docs.columns))), "rules")
-    strict = host_rates(rules).where(F.col("rate") > most_failing).select("host", F.lit(True).alias("strict"))
-    out = joined(rules, strict, ["host"], "left").withColumn("host_strict", F.coalesce("strict", F.lit(False))).drop("strict")
+    # written before it is joined, so that beyond the broadcast both sides are plain shuffles and a hot host's rows can be split
+    strict = scratch.save(host_rates(rules).where(F.col("rate") > most_failing).select("host", F.lit(True).alias("strict")), "strict")
+    out = joined(rules, strict, ["host"], "left", most_hosts).withColumn("host_strict", F.coalesce("strict", F.lit(False))).drop("strict")
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_strict") & F.col("failed")))

@@ -42,6 +42,19 @@ def test_quality_matches_sql(spark):
     assert all(r.kept or r.base_failed or r.host_strict for r in got)
 
 
+def test_quality_beyond_the_broadcast(spark):
+    docs = table(spark, crowd())
+    few, many = (sorted(map(tuple, quality_rules(docs, "doc_id", most_hosts=n).select("row.doc_id", "host", "failed", "host_strict", "kept").collect()), key=str) for n in (20_000, 0))
+    assert few == many
+
+
+def test_quality_of_null_and_repeated_ids(spark):
+    good, bad = prose(3, 40), "too short"
+    rows = [(None, good, "en", None, 1), (None, bad, "en", None, 1), (5, good, "en", "h", 1), (5, bad, "en", "h", 1), (5, bad, "en", "h", 1)]
+    got = quality_rules(table(spark, rows), "doc_id").select("row.doc_id", "host", "n_words", "base_failed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, "", 40, False), (None, "", 2, True), (5, "h", 40, False), (5, "h", 2, True), (5, "h", 2, True)], key=str)
+
+
 def brute_repeats(text):
     words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
     seen, hit = {}, set()
